@@ -31,6 +31,8 @@ from .common import U64, cut, mix, spans, text_bytes, words, written
 RADIUS, KEY_BITS, TABLES, SEED = 28, 16, 64, 7
 LANES, PLANES = 64, 128
 CHUNK = 1_000_000
+#: Rows to drop up to which their keys, some 100 bytes each, go to all executors; beyond it texts are shuffled once to meet them.
+BROADCAST_DROPS = 1_000_000
 
 
 def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -303,7 +305,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, key_bits: int = KEY_B
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, key_bits: int = KEY_BITS, tables: int = TABLES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, without all but one of each group.
 
-    Rows to drop are known by id and content. Where the row that stays has repetitions (same id and content), those
+    Rows to drop are known by id and content; up to ``BROADCAST_DROPS`` of them the documents aren't shuffled. Where the row that stays has repetitions (same id and content), those
     few rows alone are made one by a shuffle.
     """
     out = _decided(docs, radius, key_bits, tables, seed, id_col, text_col)
@@ -317,6 +319,8 @@ def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, key_bits: int
 
     keyed, key = with_key(docs)
     r = rows.withColumnsRenamed({"i": f"{key}i", "t": f"{key}t", "first": f"{key}f", "n": f"{key}n"})
+    if rows.count() <= BROADCAST_DROPS:
+        r = F.broadcast(r)
     same = keyed[id_col].eqNullSafe(r[f"{key}i"]) & (keyed[key] == r[f"{key}t"])
     kept = keyed.join(r, same, "left_anti").drop(key)
     if rows.where("first = 1").limit(1).count():
