@@ -1,9 +1,9 @@
 """Matching of labelled and predicted spans within a document.
 
-Run rows have a document's key, ``system``, ``gold`` and ``spans`` (arrays in order). The exact modes are equivalences
-on a key, so one-to-one matching is counting by key; they explode both arrays together and need one shuffle, no join.
-The overlap modes stay in the row: their kernels take sorted starts and running maxima of ends, so a long document
-costs n log n rather than the product of its spans.
+Run rows have a document's key, ``system``, ``gold`` and ``spans`` (arrays in order), one row for each document and system.
+Both sides are in the row, so matching needs no shuffle and no join. The exact modes are equivalences on a key: greedy
+one-to-one matching is counting by key. The overlap modes take sorted starts and running maxima of ends, so a long
+document costs n log n rather than the product of its spans.
 """
 
 from __future__ import annotations
@@ -78,8 +78,47 @@ def _flags(kernel):
 overlap_flags, greedy_flags = _flags(any_overlap), _flags(greedy_overlap)
 
 
+def _counters(mode: str):
+    kind = "struct<tp:bigint,fp:bigint,fn:bigint,gold_chars_leaked:bigint,gold_chars_total:bigint>"
+
+    @arrow_column(kind)
+    def run(gold: pa.Array, spans: pa.Array) -> pa.Array:
+        go, gs, ge = _bounds(gold)
+        po, ps, pe = _bounds(spans)
+        n, row_g, row_p = len(gold), np.repeat(np.arange(len(gold)), np.diff(go)), np.repeat(np.arange(len(gold)), np.diff(po))
+        size = ge - gs
+        if mode == "relaxed":
+            hit = np.zeros(len(gs), bool)
+            for k in np.flatnonzero(np.diff(go) * np.diff(po)):
+                g, p = slice(go[k], go[k + 1]), slice(po[k], po[k + 1])
+                hit[g] = greedy_overlap(gs[g], ge[g], ps[p], pe[p])
+            tp, leaked = np.bincount(row_g, hit, n), np.bincount(row_g, np.where(hit, 0, size), n)
+        else:
+            keys = [np.concatenate(x) for x in ((ge, pe), (gs, ps), (row_g, row_p))]
+            if mode == "strict":
+                labels = pa.concat_arrays([gold.flatten().field("label"), spans.flatten().field("label")])
+                keys.insert(0, np.asarray(pc.fill_null(labels.dictionary_encode("encode").indices, -1)))
+            order = np.lexsort(keys)
+            keys = [k[order] for k in keys]
+            head = np.ones(len(order), bool)
+            head[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            at = np.flatnonzero(head)
+            mine = (order < len(gs)).astype(np.int64)
+            g, p = (np.add.reduceat(x, at) if len(at) else x for x in (mine, 1 - mine))
+            met, row = np.minimum(g, p), keys[-1][at]
+            tp, leaked = np.bincount(row, met, n), np.bincount(row, (g - met) * (keys[-3][at] - keys[-2][at]), n)
+        columns = (tp, np.diff(po) - tp, np.diff(go) - tp, leaked, np.bincount(row_g, size, n))
+        return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["tp", "fp", "fn", "gold_chars_leaked", "gold_chars_total"])
+
+    return run
+
+
+#: Columns gold, spans to a struct of the counters, by mode.
+COUNTED = {mode: _counters(mode) for mode in MODES}
+
+
 def pooled(runs: DataFrame, keys: list[str], by_label: bool) -> DataFrame:
-    """(keys, start, end[, label], g, p): how often each span is labelled and predicted. Failed attempts are left out; a run without spans keeps one row of nulls, so that it counts."""
+    """(keys, start, end[, label], g, p): how often each span is labelled and predicted, where a document's spans may lie in several rows or a breakdown needs the spans themselves: one shuffle, no join. Failed attempts are left out; a run without spans keeps one row of nulls, so that it counts."""
     side = lambda name, g, p: F.transform(F.coalesce(F.col(name), F.array().cast(f"{_array_of(runs, name)}")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), F.lit(g).alias("g"), F.lit(p).alias("p")))
     rows = runs.where("ok").select(*keys, F.explode_outer(F.concat(side("gold", 1, 0), side("spans", 0, 1))).alias("s"))
     label = ["label"] if by_label else []

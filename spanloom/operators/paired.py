@@ -24,9 +24,10 @@ def pair_runs(original: DataFrame, changed: DataFrame, keys: Sequence[str] = ("b
 
 def paired_spans(both: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id", "system")) -> DataFrame:
     """(keys, idx, label, original, changed, masked, found_o, found_t) of every pair of spans."""
-    even = both.where(F.size("gold_o") == F.size("gold_t"))
-    flagged = even.select(*keys, "gold_o", "gold_t", overlap_flags(F.col("gold_o"), F.col("spans_o")).alias("fo"), overlap_flags(F.col("gold_t"), F.col("spans_t")).alias("ft"))
-    each = flagged.select(*keys, F.posexplode(F.arrays_zip("gold_o", "gold_t", "fo", "ft")).alias("idx", "z"))
+    flagged = both.select(*keys, "gold_o", "gold_t", overlap_flags(F.col("gold_o"), F.col("spans_o")).alias("fo"), overlap_flags(F.col("gold_t"), F.col("spans_t")).alias("ft"))
+    # not a filter on the sizes: pushed below an exchange it would run the detectors and the rewriting twice
+    even = F.when(F.size("gold_o") == F.size("gold_t"), F.arrays_zip("gold_o", "gold_t", "fo", "ft"))
+    each = flagged.select(*keys, F.posexplode(even).alias("idx", "z"))
     masked = ~F.col("z.gold_o.text").eqNullSafe(F.col("z.gold_t.text"))
     return each.select(*keys, "idx", F.col("z.gold_o.label").alias("label"), F.col("z.gold_o.text").alias("original"), F.col("z.gold_t.text").alias("changed"), masked.alias("masked"), F.col("z.fo").alias("found_o"), F.col("z.ft").alias("found_t"))
 

@@ -39,10 +39,14 @@ def macro_mean(cells: DataFrame, value: str, by: str = "system", over: str = "be
     return t.crossJoin(F.broadcast(total)).select(by, "coverage", F.when(F.col("coverage") == F.col("_all"), F.round("_mean", 9)).alias("mean"))
 
 
-def delta_matrix(original: DataFrame, changed: DataFrame, value: str, by: str = "system", over: str = "benchmark", columns: Sequence[str] | None = None) -> DataFrame:
-    """Changed minus original by system, a column for each benchmark; null where either lacks the cell."""
-    d = original.select(by, over, F.col(value).alias("_o")).join(changed.select(by, over, F.col(value).alias("_t")), [by, over])
-    return d.groupBy(by).pivot(over, list(columns) if columns else None).agg(F.round(F.first(F.col("_t") - F.col("_o")), 9))
+def paired_cells(original: DataFrame, changed: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, original, changed) of stored cells of both conditions; what only one of them has is null in the other."""
+    return original.select(*keys, F.col(value).alias("original")).join(changed.select(*keys, F.col(value).alias("changed")), list(keys), "full")
+
+
+def delta_matrix(cells: DataFrame, by: str = "system", over: str = "benchmark", columns: Sequence[str] | None = None) -> DataFrame:
+    """Changed minus original by system, a column for each benchmark; null where either is missing."""
+    return cells.groupBy(by).pivot(over, list(columns) if columns else None).agg(F.round(F.max(F.col("changed") - F.col("original")), 9))
 
 
 def extrema(cells: DataFrame, value: str, over: str, lower_is_better: bool = False) -> DataFrame:
@@ -80,12 +84,13 @@ def disagreement(scores: DataFrame, top: int | None = 12, keys: Sequence[str] =
     return t if top is None else t.orderBy(F.desc("gap"), *keys).limit(top)
 
 
-def rank_preservation(original: DataFrame, changed: DataFrame, value: str = "f1") -> DataFrame:
-    """Each system's rank in both conditions, and Spearman's correlation over all (few rows: one for each system)."""
-    rank = lambda df, name: df.select("system", F.rank().over(Window.orderBy(F.desc(value))).alias(name))
-    both = rank(original, "rank_original").join(rank(changed, "rank_changed"), "system")
-    rho = F.corr(F.col("rank_original").cast("double"), F.col("rank_changed").cast("double"))
-    return both.crossJoin(both.agg(F.round(rho, 9).alias("spearman")))
+def rank_preservation(cells: DataFrame) -> DataFrame:
+    """(system, rank_original, rank_changed, spearman) from (system, original, changed): ranks in both conditions and Spearman's correlation (one row for each system, so the windows are small)."""
+    rank = lambda c: F.rank().over(Window.orderBy(F.desc(c)))
+    both = cells.select("system", rank("original").alias("rank_original"), rank("changed").alias("rank_changed"))
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rho = F.corr(F.col("rank_original").cast("double"), F.col("rank_changed").cast("double")).over(whole)
+    return both.select("*", F.round(rho, 9).alias("spearman"))
 
 
 def stratified_sample(rows: DataFrame, stratum: str, total: int, strata: int, order: Sequence[str], seed: int = 20260806) -> DataFrame:

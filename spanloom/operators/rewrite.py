@@ -76,11 +76,10 @@ def redact(text: Column, spans: Column) -> Column:
 
 def surrogates(spans: Column, doc_id: Column, language: Column, seed: int, masked: Column | None = None, variant: str = "v2") -> Column:
     """A value for each span: a surrogate of its category chosen by (seed, document, ordinal, category), or null where ``masked`` (an array of flags) is false."""
-    def value(s, i):
-        kind = category(s["label"], variant)
-        return fake_value(kind, language, stable_number(F.lit(seed), doc_id, i, kind))
-
-    values = F.transform(spans, value)
+    # in steps, as a lambda's repeated parts would be computed each time
+    kinds = F.transform(spans, lambda s, i: F.struct(category(s["label"], variant).alias("kind"), i.alias("i")))
+    drawn = F.transform(kinds, lambda x: F.struct(x["kind"].alias("kind"), stable_number(F.lit(seed), doc_id, x["i"], x["kind"]).alias("h")))
+    values = F.transform(drawn, lambda x: fake_value(x["kind"], language, x["h"]))
     return values if masked is None else F.zip_with(values, masked, lambda v, m: F.when(m, v))
 
 

@@ -8,29 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
-from .match import greedy_flags, pooled
+from .match import COUNTED, overlap_flags, pooled
 
 COUNTERS = ("tp", "fp", "fn", "gold_chars_leaked", "gold_chars_total")
 
 
 def document_scores(runs: DataFrame, mode: str = "type", keys: Sequence[str] = ("benchmark", "doc_id", "system")) -> DataFrame:
-    """Counters of each document and system. A missed span leaks its full length, even where it is partly covered."""
-    keys = list(keys)
-    if mode == "relaxed":
-        hit = greedy_flags(F.col("gold"), F.col("spans"))
-        rows = runs.where("ok").select(*keys, "gold", F.size(F.coalesce("spans", F.array())).alias("n"), hit.alias("hit"))
-        size = lambda s: s["end"] - s["start"]
-        zero = F.lit(0).cast("bigint")
-        total = F.aggregate(F.col("gold"), zero, lambda a, s: a + size(s))
-        leaked = F.aggregate(F.zip_with("gold", "hit", lambda s, h: F.when(h, zero).otherwise(size(s))), zero, lambda a, x: a + x)
-        tp = F.size(F.filter("hit", lambda h: h))
-        out = rows.select(*keys, tp.cast("bigint").alias("tp"), (F.col("n") - tp).cast("bigint").alias("fp"), (F.size("hit") - tp).cast("bigint").alias("fn"), leaked.alias("gold_chars_leaked"), total.alias("gold_chars_total"))
-        return out
-    if mode not in ("strict", "type"):
+    """Counters of each document and system, within the row. A missed span leaks its full length, even where it is partly covered."""
+    if mode not in COUNTED:
         raise ValueError(f"unknown mode {mode!r}")
-    tp, length = F.least("g", "p"), F.coalesce(F.col("end") - F.col("start"), F.lit(0))
-    counted = pooled(runs, keys, mode == "strict")
-    return counted.groupBy(*keys).agg(F.sum(tp).alias("tp"), F.sum(F.col("p") - tp).alias("fp"), F.sum(F.col("g") - tp).alias("fn"), F.sum((F.col("g") - tp) * length).alias("gold_chars_leaked"), F.sum(F.col("g") * length).alias("gold_chars_total"))
+    rows = runs.where("ok").select(*keys, COUNTED[mode](F.col("gold"), F.col("spans")).alias("_s"))
+    return rows.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in COUNTERS])
+
+
+def label_scores(runs: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id", "system"), by: Sequence[str] = ("system",)) -> DataFrame:
+    """Strict counters by label and group."""
+    tp = F.least("g", "p")
+    t = pooled(runs, list(keys), True).where("label is not null").groupBy(*by, "label").agg(F.sum(tp).alias("tp"), F.sum(F.col("p") - tp).alias("fp"), F.sum(F.col("g") - tp).alias("fn"))
+    return t.select("*", F.round(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 9).alias("f1"))
+
+
+def both_f1(both: DataFrame, by: Sequence[str] = ("system",), mode: str = "type") -> DataFrame:
+    """(by, original, changed): F1 in both conditions, from rows with gold_o, spans_o, gold_t and spans_t, in one pass."""
+    rows = both.select(*by, COUNTED[mode](F.col("gold_o"), F.col("spans_o")).alias("o"), COUNTED[mode](F.col("gold_t"), F.col("spans_t")).alias("t"))
+    sums = rows.groupBy(*by).agg(*[F.sum(f"{s}.{c}").alias(f"{s}_{c}") for s in "ot" for c in ("tp", "fp", "fn")])
+    f1 = lambda s: ratio(2 * F.col(f"{s}_tp"), 2 * F.col(f"{s}_tp") + F.col(f"{s}_fp") + F.col(f"{s}_fn"))
+    return sums.select(*by, f1("o").alias("original"), f1("t").alias("changed"))
 
 
 def ratios(tp: Column, fp: Column, fn: Column, leaked: Column, total: Column) -> list[Column]:
@@ -50,8 +53,6 @@ def micro_average(scores: DataFrame, by: Sequence[str] = ("system",), places: in
 
 def over_redaction(runs: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
     """Predictions that overlap no labelled span, and the share of documents without labelled spans that get any."""
-    from .match import overlap_flags
-
     flags = overlap_flags(F.col("spans"), F.col("gold"))
     rows = runs.where("ok").select(*by, F.size("gold").alias("n_gold"), flags.alias("hit"))
     each = rows.select(*by, "n_gold", F.size("hit").alias("n"), F.size(F.filter("hit", lambda h: ~h)).alias("stray"))

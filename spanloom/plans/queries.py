@@ -59,6 +59,11 @@ def score_documents(spark, d):
     return score.document_scores(base.runs(spark, d))
 
 
+@query(f"{BASE_SQL}, k AS (SELECT coalesce(g.system, p.system) AS system, coalesce(g.label, p.label) AS label, coalesce(g.n, 0) AS g, coalesce(p.n, 0) AS p FROM (SELECT doc_id, system, s, e, label, count(*) AS n FROM gold CROSS JOIN systems GROUP BY ALL) g FULL JOIN (SELECT doc_id, system, s, e, label, count(*) AS n FROM pred GROUP BY ALL) p ON g.doc_id = p.doc_id AND g.system = p.system AND g.s = p.s AND g.e = p.e AND g.label = p.label) SELECT *, round({ratio_sql('2 * tp', '2 * tp + fp + fn')}, 9) AS f1 FROM (SELECT system, label, sum(least(g, p))::BIGINT AS tp, sum(p - least(g, p))::BIGINT AS fp, sum(g - least(g, p))::BIGINT AS fn FROM k GROUP BY system, label)")
+def score_by_label(spark, d):
+    return score.label_scores(base.runs(spark, d))
+
+
 @query()
 def relaxed_greedy(spark, d):
     return score.micro_average(score.document_scores(base.runs(spark, d), "relaxed"), ("system",), 9)
@@ -248,11 +253,10 @@ def keyed_last_row(spark, d):
     return report.last_rows(_run_files(spark, d, "spans").drop("gold"), ["doc_id"], "file")
 
 
-@query("SELECT l.lang, s.source, r.role FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT DISTINCT role FROM conversations) r WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = l.lang AND d.source = s.source)")
+@query("SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT event_type FROM events) t WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = t.event_type AND e.value > 110)")
 def grid_missing(spark, d):
-    docs, roles = base.table(spark, d, "documents"), base.table(spark, d, "conversations").select("role").distinct()
-    cells = docs.select("lang", "source").distinct().crossJoin(F.broadcast(roles))
-    return report.missing_cells(cells, docs.select("lang").distinct(), docs.select("source").distinct(), roles)
+    events = base.table(spark, d, "events")
+    return report.missing_cells(events.where("value > 110").select("user_id", "event_type"), events.select("user_id").distinct(), events.select("event_type").distinct())
 
 
 @query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -260,13 +264,6 @@ def resume_anti(spark, d):
     return base.table(spark, d, "documents").select("doc_id", "source").join(base.table(spark, d, "labels"), "doc_id", "left_anti")
 
 
-def _f1(spark, d, changed: bool = False, over: str = "benchmark") -> DataFrame:
-    rows = base.both_runs(spark, d)
-    tag = "t" if changed else "o"
-    rows = rows.select(*RUN, "language", F.lit(True).alias("ok"), F.col(f"gold_{tag}").alias("gold"), F.col(f"spans_{tag}").alias("spans"))
-    return score.micro_average(score.document_scores(rows, keys=[*RUN, "language"]), ("system", over))
-
-
 _F1S = f"{BASE_SQL}, {CHANGED_SQL}, {scored_sql('type')}, {scored_sql('type', 'gold_t', 'pred_t', 'scored_t')}"
 
 
@@ -279,7 +276,7 @@ _LANGUAGES = ("de", "en", "es", "fr")
 
 @query(f"{_F1S}, c AS (SELECT o.system, o.language, t.f1 - o.f1 AS d FROM ({_f1_sql('scored', 'system, language')}) o JOIN ({_f1_sql('scored_t', 'system, language')}) t USING (system, language)) SELECT system, " + ", ".join(f"round(max(d) FILTER (WHERE language = '{x}'), 9) AS {x}" for x in _LANGUAGES) + " FROM c GROUP BY system")
 def delta_matrix(spark, d):
-    return report.delta_matrix(_f1(spark, d, False, "language"), _f1(spark, d, True, "language"), "f1", over="language", columns=_LANGUAGES)
+    return report.delta_matrix(score.both_f1(base.both_runs(spark, d), ("system", "language")), over="language", columns=_LANGUAGES)
 
 
 @query(f"{BASE_SQL}, {scored_sql('type')}, c AS ({_f1_sql('scored', 'system, benchmark')}) SELECT system, count(*) AS coverage, CASE WHEN count(*) = (SELECT count(DISTINCT benchmark) FROM c) THEN round(avg(f1), 9) END AS mean FROM c WHERE NOT (system = 'wide' AND benchmark = 'src0') GROUP BY system")
@@ -304,8 +301,7 @@ def rank_within_doc(spark, d):
 
 @query(f"{_F1S}, o AS ({_f1_sql('scored', 'system')}), t AS ({_f1_sql('scored_t', 'system')}), r AS (SELECT system, CAST(ro AS INTEGER) AS rank_original, CAST(rt AS INTEGER) AS rank_changed FROM (SELECT system, rank() OVER (ORDER BY f1 DESC) AS ro FROM o) JOIN (SELECT system, rank() OVER (ORDER BY f1 DESC) AS rt FROM t) USING (system)) SELECT *, (SELECT round(corr(rank_original, rank_changed), 9) FROM r) AS spearman FROM r")
 def rank_preservation(spark, d):
-    of = lambda tag: score.micro_average(score.document_scores(base.both_runs(spark, d).select(*RUN, F.lit(True).alias("ok"), F.col(f"gold_{tag}").alias("gold"), F.col(f"spans_{tag}").alias("spans"))))
-    return report.rank_preservation(of("o"), of("t"))
+    return report.rank_preservation(score.both_f1(base.both_runs(spark, d)))
 
 
 @query(f"{BASE_SQL}, {scored_sql('type')} SELECT benchmark, doc_id, count(*) AS n_systems, round(max(f) - min(f), 9) AS gap FROM (SELECT benchmark, doc_id, {_DOC_F1} AS f FROM scored) GROUP BY benchmark, doc_id ORDER BY gap DESC, benchmark, doc_id LIMIT 12")
@@ -344,8 +340,8 @@ def annotation_rates(spark, d):
 
 @query(f"WITH {DOCS_SQL}, {GOLD_SQL} SELECT g.doc_id, CAST(g.idx AS INTEGER) AS idx, translate(substr(d.text, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || '⟦' || substr(d.text, s + 1, e - s) || '⟧' || substr(d.text, e + 1, 40), chr(10), ' ') AS context FROM gold g JOIN docs d USING (doc_id) WHERE g.label <> 'GIVEN_NAME'")
 def span_context(spark, d):
-    rows = base.corpus(spark, d).select("doc_id", "text", F.filter(F.transform("gold", lambda s, i: F.struct(i.alias("idx"), s.alias("s"))), lambda x: x["s"]["label"] != "GIVEN_NAME").alias("w"))
-    each = rows.where(F.size("w") > 0).select("doc_id", "text", F.explode("w").alias("w"))
+    wanted = F.filter(F.transform("gold", lambda s, i: F.struct(i.alias("idx"), s.alias("s"))), lambda x: x["s"]["label"] != "GIVEN_NAME")
+    each = base.corpus(spark, d).select("doc_id", "text", F.explode(wanted).alias("w"))
     return each.select("doc_id", F.col("w.idx").alias("idx"), context_window(F.col("text"), F.col("w.s.start"), F.col("w.s.end")).alias("context"))
 
 
@@ -388,9 +384,9 @@ def run_names(spark, d):
 @query()
 def remapped_spans(spark, d):
     """Gold spans of conversation turns, moved onto their masked texts by alignment."""
-    turns = base.table(spark, d, "conversations")
+    turns = base.spread(base.table(spark, d, "conversations"))
     gold = F.transform(spans_of(base.GOLD)(F.col("text")), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "text")]))
-    rows = turns.select("conv_id", "turn", "text", gold.alias("gold")).where(F.size("gold") > 0)
+    rows = turns.select("conv_id", "turn", "text", gold.alias("gold"))
     made = rows.select("conv_id", "turn", "text", "gold", rewrite.mask_labels(F.col("text"), F.col("gold")).alias("new"))
     return made.select("conv_id", "turn", F.explode(rewrite.remap(F.col("text"), F.col("new"), F.col("gold"))).alias("s")).select("conv_id", "turn", "s.*")
 
