@@ -84,7 +84,7 @@ def _parsed(raw: bytes, whole: bool) -> dict:
     block = rest[:length]
     out = {"warc_type": headers.get("warc-type"), "record_id": headers.get("warc-record-id"), "target_uri": headers.get("warc-target-uri"), "content_type": headers.get("content-type"), "content_length": length, "block": block, "headers": headers}
     short = len(block) < length or length < 0
-    return out | {"status": "truncated" if short else "ok", "digest": "none" if short else digest_status(headers.get("warc-block-digest"), block)}
+    return out | {"status": "ok" if whole and not short else "truncated", "digest": "none" if short else digest_status(headers.get("warc-block-digest"), block)}
 
 
 def records(stream, block: int = BLOCK) -> Iterator[dict]:
