@@ -48,7 +48,7 @@ def read_standoff(spark: SparkSession, *folders: str, benchmark: str = "standoff
         raise FileNotFoundError(", ".join(folders))
 
     def files(kind: str) -> DataFrame:
-        return spark.read.option("wholetext", True).option("pathGlobFilter", f"*.{kind}").text(folder).select(F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{kind}$", 1).alias("doc_id"), F.col("value").alias(kind))
+        return spark.read.option("pathGlobFilter", f"*.{kind}").text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{kind}$", 1).alias("doc_id"), F.col("value").alias(kind))
 
     lines = F.transform(F.filter(F.split(F.col("ann"), "\r?\n"), lambda x: x.startswith("T")), lambda x: F.split(x, "\t", 3))
     lines = F.transform(F.filter(lines, lambda p: F.size(p) >= 3), lambda p: F.struct(F.split(F.trim(p[1]), r"\s+").alias("where"), p[2].alias("text")))
@@ -108,7 +108,7 @@ def _located(text: pa.Array, lines: pa.Array) -> pa.Array:
 
 def read_blocks(spark: SparkSession, path: str, benchmark: str = "blocks", language: str = "en") -> DataFrame:
     """Blocks of a query, a tags mark and a JSON tag a line; each tag's value is located in the query. Bad tag lines are skipped; a last query without the mark is left out, as an unfinished one. One task a file."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     blocks = files.select(F.col("_metadata.file_name").alias("f"), F.posexplode(F.split("value", r"(?m)^[ \t]*===QUERY===[ \t]*\r?$")).alias("n", "b"), F.size(F.split("value", r"(?m)^[ \t]*===QUERY===[ \t]*\r?$")).alias("size"))
     parts = F.split("b", r"(?m)^[ \t]*===PHI_TAGS===[ \t]*\r?$", 2)
     rows = blocks.where("n > 0").select("f", "n", parts.alias("p"), (F.col("n") == F.col("size") - 1).alias("last")).where("size(p) > 1 or not last")
