@@ -115,7 +115,7 @@ def fake_value_sql(kind: str, language: str, h: str) -> str:
       ELSE {_pick_sql(NAMES, language, h)} END"""
 
 
-_SHAPES = {"email": r"[^@\s]+@[^@\s]+\.[^@\s]+", "ip": r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "digit": r"[0-9]", "any": r"[\p{L}\p{N}]"}
+_SHAPES = {"email": r"[^\s@]+@[^\s@]+[.][^\s@]+", "ip": r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "digit": r"[0-9]", "any": r"[\p{L}\p{N}]"}
 
 
 def well_formed(kind: Column, value: Column) -> Column:

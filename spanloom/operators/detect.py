@@ -80,7 +80,7 @@ def build(names: Iterable[str]) -> list[Detector]:
 def parse_tolerant(answer: str | None) -> dict:
     """An object from a model's answer: as it is, without code fences, its outermost braces, or else the complete span objects in it."""
     text = answer or ""
-    bare = re.sub(r"(?ms)^```(?:json)?\s*|\s*```$", "", text.strip())
+    bare = text.strip().removeprefix("```json").strip("`").strip()
     braces = re.search(r"(?s)\{.*\}", bare)
     for candidate in (text, bare, braces.group() if braces else ""):
         try:
@@ -88,7 +88,7 @@ def parse_tolerant(answer: str | None) -> dict:
         except ValueError:
             continue
         return found if isinstance(found, dict) else {}
-    keys = ('"start"', r"\d+"), ('"end"', r"\d+"), ('"label"', r'"[^"]*"'), ('"text"', r'"(?:\\.|[^"\\])*"')
+    keys = ('"start"', r"\d+"), ('"end"', r"\d+"), ('"label"', r'"[^"]*"'), ('"text"', r'"[^"\\]*(?:\\.[^"\\]*)*"')
     whole = r"(?s)\{\s*" + r"\s*,\s*".join(rf"{k}\s*:\s*{v}" for k, v in keys) + r"\s*\}"
     spans = []
     for m in re.finditer(whole, bare):
@@ -106,6 +106,14 @@ def _occurrences(text: str, value: str) -> Iterable[int]:
         at = text.find(value, at + 1)
 
 
+def _whole(x) -> int:
+    """A number from what a model wrote, 0 if it isn't one."""
+    try:
+        return int(x)
+    except (TypeError, ValueError):
+        return 0
+
+
 def locate_nearest(text: str, claims: Sequence[dict]) -> Spans:
     """Each claimed surface at its occurrence nearest to the hinted start that no earlier claim has; claims that aren't objects are skipped."""
     taken: set[tuple[int, int]] = set()
@@ -113,11 +121,7 @@ def locate_nearest(text: str, claims: Sequence[dict]) -> Spans:
     for claim in claims if isinstance(claims, list) else []:
         if not isinstance(claim, dict):
             continue
-        value = str(claim.get("text") or "").strip()
-        try:
-            hint = int(claim.get("start", 0))
-        except (TypeError, ValueError):
-            hint = 0
+        value, hint = str(claim.get("text") or "").strip(), _whole(claim.get("start"))
         free = [i for i in _occurrences(text, value) if (i, i + len(value)) not in taken] if value else []
         if free:
             at = min(free, key=lambda i: (abs(i - hint), i))
@@ -131,13 +135,13 @@ def locate_first(text: str, tags: Sequence[dict]) -> list[dict]:
     taken: list[tuple[int, int]] = []
     out = []
     for tag in tags:
-        value = str(tag.get("value") or "").strip()
-        if not value:
+        value, label = (str(tag.get(k) or "").strip() for k in ("value", "identifier_type"))
+        if value == "":
             continue
         at = next((i for i in _occurrences(text, value) if not any(a <= i < b for a, b in taken)), None)
         if at is not None:
             taken.append((at, at + len(value)))
-            out.append({"start": at, "end": at + len(value), "label": str(tag.get("identifier_type") or "OTHER").strip().upper(), "text": value})
+            out.append({"start": at, "end": at + len(value), "label": label.upper() or "OTHER", "text": value})
     return sorted(out, key=lambda s: s["start"])
 
 

@@ -142,3 +142,12 @@ def found_spans(runs: DataFrame, keys: list[str]) -> DataFrame:
     flagged = runs.where("ok").select(*keys, "gold", overlap_flags(F.col("gold"), F.col("spans")).alias("found"))
     each = flagged.select(*keys, F.posexplode(F.arrays_zip("gold", "found")).alias("idx", "z"))
     return each.select(*keys, "idx", *[F.col(f"z.gold.{c}").alias(c) for c in ("start", "end", "label", "text")], F.col("z.found").alias("found"))
+
+
+def from_relations(attempt: DataFrame, gold: DataFrame, pred: DataFrame, keys: tuple[str, ...] = ("benchmark", "doc_id")) -> DataFrame:
+    """Run rows from the normalised relations: attempts (keys, system, ok), labelled spans (keys, idx, start, end, label, text) and predictions (with system). An attempt without spans keeps its row; spans without an attempt are left out."""
+    span = F.struct("start", "end", "label", "text")
+    listed = lambda df, by, name: df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", span.alias("s")))), lambda x: x["s"]).alias(name))
+    rows = attempt.join(listed(gold, keys, "gold"), list(keys), "left").join(listed(pred, (*keys, "system"), "spans"), [*keys, "system"], "left")
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(_array_of(rows, c)))
+    return rows.select(*keys, "system", "ok", empty("gold").alias("gold"), empty("spans").alias("spans"))

@@ -144,3 +144,43 @@ def manifest(docs: DataFrame, by: Sequence[str] = ("benchmark",)) -> DataFrame:
 def text_table(rows: DataFrame, columns: Sequence[str], sep: str = " | ") -> DataFrame:
     """A line of text for each row, for Markdown (" | ") or LaTeX (" & "); null as a dash."""
     return rows.select(F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("—")) for c in columns]).alias("line"))
+
+
+def run_index(summaries: DataFrame) -> DataFrame:
+    """A row for each stored summary: its stem, benchmark, mode, systems and largest number of documents."""
+    return summaries.groupBy("stem").agg(F.min_by("benchmark", "system").alias("benchmark"), F.min_by("mode", "system").alias("mode"), F.count_distinct("system").alias("n_systems"), F.max("n_docs").alias("n_docs"))
+
+
+def changed_name(name: Column) -> Column:
+    """The benchmark that a changed one was made from."""
+    return F.regexp_replace(name, "_transformed$", "")
+
+
+def paired_benchmarks(cells: DataFrame, value: str, order: str) -> DataFrame:
+    """(system, benchmark, original, changed): cells of benchmarks and of their changed forms, matched by name; of repeated cells the last by ``order``."""
+    base = changed_name(F.col("benchmark"))
+    which = F.when(base == F.col("benchmark"), "original").otherwise("changed")
+    pick = lambda w: F.max_by(F.when(F.col("_w") == w, F.col(value)), F.when(F.col("_w") == w, F.col(order))).alias(w)
+    t = cells.select("system", base.alias("benchmark"), which.alias("_w"), value, order).groupBy("system", "benchmark").agg(pick("original"), pick("changed"))
+    return t.where("original is not null and changed is not null")
+
+
+def named(rows: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with a display name from a small dimension, the key itself where it has none."""
+    small = names.select(F.col(key).alias("_k"), F.col(name).alias("_n"))
+    return rows.join(F.broadcast(small), F.col(key) == F.col("_k"), "left").select(*rows.columns, F.coalesce("_n", key).alias(name))
+
+
+def leaderboard(means: DataFrame, value: str = "mean", lower_is_better: bool = False) -> DataFrame:
+    """Systems with a place: those with a value first, best first; the rest by falling coverage."""
+    by = F.asc_nulls_last(value) if lower_is_better else F.desc_nulls_last(value)
+    return means.withColumn("place", F.row_number().over(Window.orderBy(by, F.desc("coverage"), "system")))
+
+
+def to_review(sheet: DataFrame, which: str = "unreviewed") -> DataFrame:
+    """Rows of an annotation sheet that aren't reviewed yet, or that are flagged with a failure."""
+    if which == "unreviewed":
+        return sheet.where(F.upper(F.trim(F.coalesce("reviewed", F.lit("")))) != "Y")
+    if which == "flagged":
+        return sheet.where(~F.trim(F.coalesce("failure", F.lit(""))).isin("", "none"))
+    raise ValueError(which)

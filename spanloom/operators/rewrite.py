@@ -38,7 +38,7 @@ def splice_text(text: str, spans: list[dict], values: list[str | None], clip: bo
         old = text[start:end]
         new = old if value is None else value[: end - start] if clip else value
         out += [text[cursor:start], new]
-        kept.append({"start": start + shift, "end": start + shift + len(new), "label": s["label"], "text": new})
+        kept.append(s | dict(start=start + shift, end=start + shift + len(new), text=new))
         shift += len(new) - (end - start)
         cursor = end
     return "".join(out) + text[cursor:], kept
@@ -89,13 +89,13 @@ def rewritten(docs: DataFrame, values: Column) -> DataFrame:
     return made.select(*[c for c in docs.columns if c not in ("text", "gold")], F.col("_made.text").alias("text"), F.col("_made.spans").alias("gold"))
 
 
-def map_spans(old: str, new: str, spans: list[dict]) -> list[dict]:
+def map_spans(old, new, marked):
     """Spans moved from one text to another along their character alignment; those that vanish are left out.
 
     Alignment is superlinear: for rewrites of our own take ``splice``, which tracks offsets exactly.
     """
     if old == new:
-        return [dict(s) for s in spans]
+        return list(map(dict, marked))
     blocks = difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
     begins = [b[1] for b in blocks]
 
@@ -112,11 +112,11 @@ def map_spans(old: str, new: str, spans: list[dict]) -> list[dict]:
         return b[3] + p - b[1] if b[0] == "equal" else b[4] if last else b[3]
 
     out = []
-    for s in spans:
+    for s in marked:
         start = min(max(moved(s["start"], False), 0), len(new))
         end = min(max(moved(s["end"], True), start), len(new))
         if end > start:
-            out.append({"start": start, "end": end, "label": s["label"], "text": new[start:end]})
+            out.append(dict(s, start=start, end=end, text=new[start:end]))
     return out
 
 

@@ -11,8 +11,9 @@ from ..functions.stats import Z95, bootstrap_half_width, paired_difference, tost
 from ..functions.text import VARIANTS, category, category_sql, context_window, run_name, run_time, verdict, well_formed_sql
 from ..operators import paired, report, rewrite, score
 from ..operators.detect import run_rows, spans_of
-from ..operators.match import found_spans, overlap_flags, unmatched
+from ..operators.match import found_spans, from_relations, overlap_flags, unmatched
 from ..sources.readers import tagged_spans
+from ..streaming.scoring import event_windows
 from . import base
 from .base import BASE_SQL, CHANGED_SQL, DOCS_SQL, GOLD_SQL, PAIRED_SQL, REDACTED_SQL, averaged_sql, found_sql, ratio_sql, scored_sql, spliced_sql
 
@@ -396,3 +397,42 @@ def highlighted_turns(spark, d):
     gold = F.transform(spans_of(base.GOLD)(F.col("text")), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "text")]))
     rows = base.table(spark, d, "conversations").select("conv_id", "turn", "text", gold.alias("gold"))
     return rows.select("conv_id", "turn", rewrite.highlighted(F.col("text"), F.col("gold")).alias("html"))
+
+
+@query(f"{BASE_SQL}, {scored_sql('type')} {averaged_sql('system')}")
+def score_from_relations(spark, d):
+    """Through the normalised relations: spans taken apart, stored as rows and put together again."""
+    rows = base.runs(spark, d)
+    attempt = rows.select(*DOC, "system", "ok")
+    gold = _gold_rows(base.corpus(spark, d))
+    pred = rows.select(*DOC, "system", F.posexplode("spans").alias("idx", "s")).select(*DOC, "system", "idx", "s.*")
+    return score.micro_average(score.document_scores(from_relations(attempt, gold, pred)), ("system",), 9)
+
+
+@query("WITH c AS (SELECT lang AS system, source || CASE WHEN doc_id % 3 = 1 THEN '_transformed' ELSE '' END AS benchmark, n_chars, doc_id FROM documents), k AS (SELECT system, regexp_replace(benchmark, '_transformed$', '') AS benchmark, arg_max(n_chars, doc_id) FILTER (WHERE benchmark NOT LIKE '%_transformed') AS original, arg_max(n_chars, doc_id) FILTER (WHERE benchmark LIKE '%_transformed') AS changed FROM c GROUP BY ALL) SELECT * FROM k WHERE original IS NOT NULL AND changed IS NOT NULL")
+def benchmark_pairing(spark, d):
+    docs = base.table(spark, d, "documents")
+    name = F.concat("source", F.when(F.col("doc_id") % 3 == 1, "_transformed").otherwise(""))
+    return report.paired_benchmarks(docs.select(F.col("lang").alias("system"), name.alias("benchmark"), "n_chars", "doc_id"), "n_chars", "doc_id")
+
+
+@query("SELECT n_nationkey, coalesce(r_name, CAST(n_regionkey AS VARCHAR)) AS region FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) ON n_regionkey = r_regionkey")
+def dimension_lookup(spark, d):
+    region = base.table(spark, d, "region").where("r_regionkey <> 2").select(F.col("r_regionkey").cast("string").alias("k"), F.col("r_name").alias("region"))
+    return report.named(base.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("k")), region, "k", "region").drop("k")
+
+
+@query(f"{BASE_SQL}, {scored_sql('type')}, c AS ({_f1_sql('scored', 'system, benchmark')}), m AS (SELECT system, count(*) AS coverage, CASE WHEN count(*) = (SELECT count(DISTINCT benchmark) FROM c) THEN round(avg(f1), 9) END AS mean FROM c WHERE NOT (system = 'wide' AND benchmark = 'src0') GROUP BY system) SELECT *, CAST(row_number() OVER (ORDER BY mean DESC NULLS LAST, coverage DESC, system) AS INTEGER) AS place FROM m")
+def leaderboard(spark, d):
+    return report.leaderboard(macro_mean_guard(spark, d))
+
+
+@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 3 <> 0 OR toxic = 1")
+def review_filter(spark, d):
+    sheet = base.table(spark, d, "labels").select("*", F.when(F.col("doc_id") % 3 == 0, "y").alias("reviewed"), F.when(F.col("toxic") == 1, "toxic").otherwise("none").alias("failure"))
+    return report.to_review(sheet).unionByName(report.to_review(sheet, "flagged")).distinct().select("doc_id", "quality", "toxic")
+
+
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_counts(spark, d):
+    return event_windows(base.table(spark, d, "events")).withColumn("total", F.round("total", 4))

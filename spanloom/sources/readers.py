@@ -81,6 +81,17 @@ def tagged_spans(tokens: pa.Array, tags: pa.Array) -> pa.Array:
     return pa.array([bio_spans(a or [], b or []) for a, b in zip(tokens.to_pylist(), tags.to_pylist())], _SPANS)
 
 
+#: Languages of the token-tagged corpus, by code.
+LANGUAGES = dict(x.split(":") for x in "bn:Bangla de:German en:English es:Spanish fa:Farsi fr:French hi:Hindi it:Italian pt:Portuguese sv:Swedish uk:Ukrainian zh:Chinese".split())
+
+
+def tagged_path(root: str, language: str, split: str) -> str:
+    """The file of a language and split under a corpus folder."""
+    if language not in LANGUAGES:
+        raise ValueError(f"unknown language {language!r}; known: {', '.join(LANGUAGES)}")
+    return f"{root.rstrip('/')}/{language.upper()}-{LANGUAGES[language]}/{language}_{split}.conll"
+
+
 def read_tagged(spark: SparkSession, path: str, language: str = "en", split: str = "test", benchmark: str = "tagged") -> DataFrame:
     """Token lines under headers "# id <name>": the first column is the token, the last of four or more its tag; shorter lines are left out. Files are split at the headers, so large ones are read in parallel."""
     records = spark.read.option("lineSep", "# id ").text(path).where("trim(value) <> ''")
@@ -153,7 +164,7 @@ SCORE = "struct<tp:bigint,fp:bigint,fn:bigint,gold_chars_leaked:bigint,gold_char
 RUN = f"doc_id string, gold_n bigint, text string, gold_spans array<{SPAN}>, predictions map<string,struct<spans:array<{PREDICTED}>,score:{SCORE}>>"
 
 
-def read_runs(spark: SparkSession, path: str, exclude: tuple[str, ...] = ("_type", "_relaxed", "_thinking", "_openai_type")) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, exclude: tuple[str, ...] = ("_relaxed", "_thinking", "_type")) -> DataFrame:
     """Stored runs, a JSON object a line: (line, doc_id, gold_n, text, gold, system, spans, score), a row for each system; system names may have dots. Files whose name holds an excluded part, blank or unreadable lines and those without id are skipped."""
     lines = ordered(spark.read.text(path)).select("value", "line", F.col("_metadata.file_name").alias("file")).where("trim(value) <> ''")
     for part in exclude:
@@ -189,7 +200,7 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema("system string, corpus string, benchmark string, masked bigint, found bigint, recall_pct double").json(path)
 
 
-SHEET = ("id", "benchmark", "doc_id", "type", "original", "surrogate", "context", "failure", "valid", "type_consistent", "reviewed", "notes")
+SHEET = tuple("id benchmark doc_id type original surrogate context failure valid type_consistent reviewed notes".split())
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:

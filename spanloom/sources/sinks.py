@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .readers import SHEET, _exists
@@ -28,9 +28,9 @@ def append_missing(rows: DataFrame, path: str, key: Sequence[str]) -> int:
     new = rows
     if _exists(spark, path):
         new = rows.join(spark.read.schema(rows.schema).json(path).select(*key), list(key), "left_anti")
-    before = spark.read.schema(rows.schema).json(path).count() if _exists(spark, path) else 0
-    new.write.mode("append").json(path)
-    return spark.read.schema(rows.schema).json(path).count() - before
+    seen = Observation()
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
+    return seen.get["n"]
 
 
 def export_datasets(docs: DataFrame, path: str, expected: DataFrame | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ def test_verdict(spark, label, original, surrogate, want):
 def test_small_text_functions(spark):
     assert one(spark, text.context_window(F.lit("a\nb SECRET c"), F.lit(4), F.lit(10))) == "a b ⟦SECRET⟧ c"
     assert one(spark, text.shortened(F.lit("abcdef"), 3)) == "abc…" and one(spark, text.shortened(F.lit("abc"), 3)) == "abc"
-    assert one(spark, text.run_name(F.lit("asq_250_1700000000"))) == "asq_250" and one(spark, text.run_name(F.lit("asq_250"))) == "asq_250"
+    assert one(spark, text.run_name(F.lit("demo_250_1700000000"))) == "demo_250" and one(spark, text.run_name(F.lit("demo_250"))) == "demo_250"
     assert one(spark, text.run_time(F.lit("r_1700000000"))) == "2023-11-14 22:13 UTC" and one(spark, text.run_time(F.lit("r"))) == ""
     assert one(spark, text.percent(F.lit(None).cast("double"))) == "—" and one(spark, text.percent(F.lit(0.1234))) == "12.3" and one(spark, text.delta(F.lit(0.05))) == "+0.050"
 
