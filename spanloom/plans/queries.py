@@ -80,7 +80,7 @@ def false_positive_spans(spark, d):
     return unmatched(base.runs(spark, d), RUN, "spans").select(*RUN, "start", "end", "label", "text")
 
 
-@query(f'{BASE_SQL} SELECT d.benchmark, g.doc_id, a.system, g.s AS start, g.e AS "end", g.label, g.text FROM gold g JOIN docs d USING (doc_id) CROSS JOIN systems a WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.system = a.system AND p.doc_id = g.doc_id AND g.s = p.s AND g.e = p.e)')
+@query(f'{BASE_SQL} SELECT d.benchmark, g.doc_id, d.system, g.s AS start, g.e AS "end", g.label, g.text FROM gold g JOIN attempt d USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id, system, s, e FROM pred) p ON p.system = d.system AND p.doc_id = g.doc_id AND g.s = p.s AND g.e = p.e WHERE p.doc_id IS NULL')
 def missed_spans(spark, d):
     return unmatched(base.runs(spark, d), RUN, "gold").select(*RUN, "start", "end", "label", "text")
 
