@@ -79,7 +79,9 @@ def local_neighbours(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.
 def neighbours(vectors: DataFrame, k: int = K, pivots: int = PIVOTS, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, neighbor_id, rank (from 1), distance: k rows for each vector."""
     spark = vectors.sparkSession
-    raw = F.col(vector_col).cast("array<double>")
+    # single precision is carried as it is, and widened where distances are computed
+    item = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    raw = F.col(vector_col).cast(f"array<{item}>")
     fine = vectors.select(F.col(id_col).alias("i"), raw.alias("v")).where(F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     lengths = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     kind = fine.schema["i"].dataType.simpleString()
@@ -152,7 +154,7 @@ def neighbours(vectors: DataFrame, k: int = K, pivots: int = PIVOTS, group_rows:
                 part = take[s]
                 yield pa.RecordBatch.from_arrays([pa.array(to[s]), pa.array(which[s]), pa.array(role[s]), b.column(0).take(part), b.column(1).take(part), b.column(2).take(part)], names=["g", "b", "role", "r", "i", "v"])
 
-    routed = rows.select("r", "i", "v").mapInArrow(route, f"g int, b int, role tinyint, r bigint, i {kind}, v array<double>")
+    routed = rows.select("r", "i", "v").mapInArrow(route, f"g int, b int, role tinyint, r bigint, i {kind}, v array<{item}>")
 
     def solve(table: pa.Table) -> pa.Table:
         role = np.asarray(table["role"])
