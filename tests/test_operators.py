@@ -242,3 +242,31 @@ def test_samples(spark):
     assert sorted(r["s"] for r in picked) == ["0"] * 10 + ["1"] * 10 + ["2"] * 10
     assert {r["id"] for r in report.stratified_sample(df.repartition(7), "s", 30, 3, ["id"]).collect()} == {r["id"] for r in picked}
     assert report.seeded_take(df, 7, ["id"]).count() == 7 and [r["id"] for r in report.head(df, 2, ["id"]).collect()] == [0, 1]
+
+
+def test_run_rows_from_relations(spark):
+    attempt = spark.createDataFrame([("b", "d", "s", True), ("b", "d", "t", True), ("b", "e", "s", False)], "benchmark string, doc_id string, system string, ok boolean")
+    kind = "idx int, start bigint, end bigint, label string, text string"
+    gold = spark.createDataFrame([("b", "d", 1, 5, 6, "A", "y"), ("b", "d", 0, 0, 3, "A", "xxx")], f"benchmark string, doc_id string, {kind}")
+    pred = spark.createDataFrame([("b", "d", "s", 0, 0, 3, "A", "xxx"), ("b", "f", "s", 0, 0, 3, "A", "xxx")], f"benchmark string, doc_id string, system string, {kind}")
+    rows = {(r["doc_id"], r["system"]): r for r in match.from_relations(attempt, gold, pred).collect()}
+    assert set(rows) == {("d", "s"), ("d", "t"), ("e", "s")} and rows["d", "t"]["spans"] == [] and [g["start"] for g in rows["d", "s"]["gold"]] == [0, 5]
+    got = {r["system"]: (r["tp"], r["fn"]) for r in score.document_scores(match.from_relations(attempt, gold, pred)).collect()}
+    assert got == {"s": (1, 1), "t": (0, 2)}
+
+
+def test_null_arrays_count_as_empty(spark):
+    df = spark.createDataFrame([("b", "d", "s", True, None, None), ("b", "e", "s", True, None, spans((0, 1, "A")))], RUN)
+    for mode in match.MODES:
+        assert {r["doc_id"]: (r["tp"], r["fp"], r["fn"]) for r in score.document_scores(df, mode).collect()} == {"d": (0, 0, 0), "e": (0, 1, 0)}
+    assert match.found_spans(df, ["doc_id"]).collect() == [] and score.document_scores(df.where("false")).collect() == []
+
+
+def test_indexes_and_reviews(spark):
+    df = spark.createDataFrame([("r1", "x", "b", "type", 5), ("r1", "y", "b", "type", 9)], "stem string, system string, benchmark string, mode string, n_docs bigint")
+    assert tuple(report.run_index(df).first()) == ("r1", "b", "type", 2, 9)
+    sheet = spark.createDataFrame([("1", "y", "none"), ("2", None, "x_masked"), ("3", "Y", "")], "id string, reviewed string, failure string")
+    assert [r["id"] for r in report.to_review(sheet).collect()] == ["2"] == [r["id"] for r in report.to_review(sheet, "flagged").collect()]
+    assert [r["line"] for r in report.text_table(df.where("system = 'x'"), ["system", "n_docs"]).collect()] == ["x | 5"]
+    heat = df.select(report.delta_heat(F.lit(0.01), F.lit(-0.005), F.lit(0.01)).alias("h")).first()["h"]
+    assert heat == 0.75

@@ -48,6 +48,12 @@ def test_tagged(spark, tmp_path):
     assert all(one["text"][s["start"] : s["end"]] == s["text"] for s in one["gold"]) and got["mc2_en_test_two"]["gold"] == []
 
 
+def test_tagged_path():
+    assert readers.tagged_path("data/", "de", "dev") == "data/DE-German/de_dev.conll"
+    with pytest.raises(ValueError):
+        readers.tagged_path("data", "xx", "dev")
+
+
 def test_blocks(spark, tmp_path):
     text = '===QUERY===\nAnn met Ann\n===PHI_TAGS===\n{"identifier_type": "name", "value": "Ann"}\nnot json\n{"identifier_type": "name", "value": "Ann"}\n{"value": "Zed"}\n===QUERY===\nno tags here\n===QUERY===\nnothing\n===PHI_TAGS===\n===QUERY===\nunfinished\n'
     got = [(r["text"], bare(r["gold"])) for r in readers.read_blocks(spark, put(tmp_path / "b.txt", text)).orderBy("doc_id").collect()]
