@@ -346,6 +346,13 @@ def span_context(spark, d):
     return each.select("doc_id", F.col("w.idx").alias("idx"), context_window(F.col("text"), F.col("w.s.start"), F.col("w.s.end")).alias("context"))
 
 
+@query(f"WITH {DOCS_SQL}, {GOLD_SQL} SELECT g.doc_id, CAST(g.idx AS INTEGER) AS idx, g.label, translate(substr(d.text, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || '⟦' || substr(d.text, s + 1, e - s) || '⟧' || substr(d.text, e + 1, 40), chr(10), ' ') AS context FROM gold g JOIN docs d USING (doc_id)")
+def span_context_all(spark, d):
+    """Contexts of the spans of every label; span_context has those of all labels but GIVEN_NAME."""
+    each = base.corpus(spark, d).select("doc_id", "text", F.posexplode("gold").alias("idx", "s"))
+    return each.select("doc_id", "idx", "s.label", context_window(F.col("text"), F.col("s.start"), F.col("s.end")).alias("context"))
+
+
 @query(f"WITH {DOCS_SQL}, {GOLD_SQL} SELECT d.benchmark, count(*) AS n_docs, sum(coalesce(g.n, 0))::BIGINT AS n_spans, sum(strlen(d.text))::BIGINT AS n_bytes FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id) g USING (doc_id) GROUP BY d.benchmark")
 def dataset_manifest(spark, d):
     return report.manifest(base.corpus(spark, d))
