@@ -1,7 +1,7 @@
 """Vector best-fit packing of documents into training sequences.
 
-A document's tokens are its runs of non-white characters. One longer than a sequence is split into pieces of whole
-sequences and a rest, so that nothing is cut away. A bin has three capacities: tokens, documents (pieces) and
+A document's tokens are its runs of non-white characters. One longer than a bin can take (by tokens, or by the square
+root of the attention capacity) is split into pieces of that length and a rest, so that nothing is cut away. A bin has three capacities: tokens, documents (pieces) and
 attention cost (the sum of squared piece lengths). Pieces come in order of falling length; each goes to the open bin
 that fits it under every capacity and has the highest score, or to a new bin:
 
@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKENS, DOCUMENTS, GROUP_TOKENS = 2048, 16, 1_000_000
-#: Of the largest possible attention cost TOKENS squared.
-ATTENTION = 1.0
+#: Of the largest possible attention cost TOKENS squared. Below 1, so that it binds; at 1 it follows from the tokens.
+ATTENTION = 0.5
 WEIGHTS = (1.0, 0.25, 0.5)
 
 
