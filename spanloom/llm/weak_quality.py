@@ -4,12 +4,12 @@ Heuristic labellers each vote good (1), bad (0) or abstain (-1) on every documen
 patterns, at most 3 ** len(LABELLERS) rows whatever the corpus, carry all that expectation-maximisation needs: it
 estimates the class prior and each labeller's accuracy in each class. The posterior of a document's pattern is its
 label, by which a linear scorer over hashed features is trained with logistic loss. Votes are counted over the whole
-corpus; the scorer is fitted on a sample of at most about ``train_docs`` documents, chosen by a hash of their ids (the
+corpus; the scorer is fitted on a sample of at most about ``train_docs`` documents, chosen by a hash of id and text (the
 one bounded sample here). The score of every document is the scorer's probability of good; ``threshold`` and above stays.
 
 Defined cases: null or wordless text has no features, score null, and isn't kept. A corpus whose labellers never disagree,
 or without any vote, gives the scorer one class only: all documents with words then get the same side. Repeated rows
-get equal scores. Ids only pick the sample, so null and repeated ids are allowed. No rows: no rows.
+get equal scores. Ids and texts pick the sample together, so null and repeated ids are allowed. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
 
     sample = _source(docs, id_col, text_col)
     if total > train_docs:
-        sample = sample.where(unit_hash(seed, F.col("i")) < F.lit(train_docs / total))
+        sample = sample.where(unit_hash(seed, F.concat_ws("|", F.col("i").cast("string"), "t")) < F.lit(train_docs / total))
     got = sample.select("t").mapInArrow(run, "index array<int>, share array<float>, target double").toArrow()
     lists = got["index"].combine_chunks()
     index = np.asarray(lists.flatten()).astype(np.int64)
