@@ -1,10 +1,18 @@
-"""Column expressions on labels, surrogate values and texts; all of them run inside the JVM."""
+"""Column expressions on labels, surrogate values and texts. They run inside the JVM, but for those that work through a document's spans: these take Arrow batches."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .udf import arrow_column
+
 #: Categories in order of precedence: the first whose keywords occur in the upper-case label wins, names are the rest.
 _BASE = [
     ("email", "CORREO MAIL"),
@@ -40,6 +48,13 @@ def category_sql(label: str, variant: str = "v2") -> str:
     return f"CASE {cases} ELSE 'name' END"
 
 
+@lru_cache(1000)
+def category_of(label: str | None, variant: str = "v2") -> str:
+    """``category`` of one label."""
+    upper = (label or "").upper()
+    return next((name for name, keywords in VARIANTS[variant] if any(k in upper for k in keywords.split())), "name")
+
+
 #: Names and places by language; other languages use the English ones.
 NAMES = {
     "en": ("Alma Reed", "Owen Hart", "Nora Finch", "Miles Grant", "Tess Doyle"),
@@ -62,6 +77,21 @@ def stable_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
 
 
+def stable_numbers(seed: int):
+    """A column function of an array and a document: for each element the ``stable_number`` of seed, document and its ordinal."""
+
+    @arrow_column("array<bigint>")
+    def run(items: pa.Array, doc_id: pa.Array) -> pa.Array:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(items), 0)).astype(np.int64)
+        out = []
+        for n, d in zip(sizes.tolist(), pc.cast(doc_id, pa.string()).to_pylist()):
+            head = f"{seed}|" if d is None else f"{seed}|{d}|"
+            out += [int(md5(f"{head}{i}".encode()).hexdigest()[:8], 16) for i in range(n)]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(out, pa.int64()))
+
+    return run
+
+
 def stable_number_sql(*parts: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
 
@@ -99,6 +129,29 @@ def fake_value(kind: Column, language: Column, h: Column) -> Column:
     )
 
 
+def fake_text(kind: str, language: str | None, h: int) -> str:
+    """``fake_value`` of one number, for use in batches."""
+    if kind == "name" or kind == "loc":
+        table = NAMES if kind == "name" else PLACES
+        values = table.get(language or "en", table["en"])
+        return values[h % len(values)]
+    if kind == "email":
+        return f"user{h % 10000:04d}@mail{h // 10000 % 10}.example.org"
+    if kind == "ip":
+        return f"10.{h % 256}.{h // 256 % 256}.{h // 65536 % 256}"
+    if kind == "phone":
+        return f"+1 (555) {h % 1000:03d}-{h // 1000 % 10000:04d}"
+    if kind == "date":
+        return f"{h % 28 + 1:02d}/{h // 28 % 12 + 1:02d}/{h // 336 % 90 + 1930}"
+    if kind == "username":
+        return f"user_{h % 100000:05d}"
+    if kind == "age":
+        return str(h % 98 + 1)
+    if kind == "sex":
+        return "male" if h % 2 == 0 else "female"
+    return f"{h % 10**8:08d}"
+
+
 def fake_value_sql(kind: str, language: str, h: str) -> str:
     digits = lambda shift, width: f"lpad(CAST(({h} // {shift}) % {10**width} AS VARCHAR), {width}, '0')"
     octet = lambda shift: f"CAST(({h} // {shift}) % 256 AS VARCHAR)"
@@ -143,6 +196,24 @@ def context_window(text: Column, start: Column, end: Column, around: int = 40) -
     return F.translate(F.concat(cut(left + 1, start - left), F.lit("⟦"), cut(start + 1, end - start), F.lit("⟧"), cut(end + 1, F.lit(around))), "\n", " ")
 
 
+def contexts(around: int = 40):
+    """A column function of text and spans to the ``context_window`` of each span. (In the JVM every span would walk the text from its start, in a row with a copy of it.)"""
+
+    @arrow_column("array<string>")
+    def run(text: pa.Array, spans: pa.Array) -> pa.Array:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(spans), 0)).astype(np.int64)
+        flat = spans.flatten()
+        starts, ends = np.asarray(flat.field("start")).tolist(), np.asarray(flat.field("end")).tolist()
+        out, at = [], 0
+        for t, n in zip(text.to_pylist(), sizes.tolist()):
+            for a, b in zip(starts[at : at + n], ends[at : at + n]):
+                out.append(None if t is None else f"{t[max(a - around, 0) : a]}⟦{t[a:b]}⟧{t[b : b + around]}".replace("\n", " "))
+            at += n
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(out, pa.string()))
+
+    return run
+
+
 def shortened(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text)
 

@@ -8,10 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def arrow_column(kind: str) -> Callable[[Callable], Callable[..., Column]]:
+def arrow_column(kind: str, once: bool = False) -> Callable[[Callable], Callable[..., Column]]:
+    """once: the function mustn't run twice on a row, as it would if a filter on what it gives were moved below it."""
+
     def wrap(f: Callable) -> Callable[..., Column]:
         def made(*columns: Column | str) -> Column:
-            return F.arrow_udf(f, kind)(*columns)
+            udf = F.arrow_udf(f, kind)
+            return (udf.asNondeterministic() if once else udf)(*columns)
 
         made.__doc__, made.__name__ = f.__doc__, f.__name__
         return made

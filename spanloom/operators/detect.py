@@ -10,6 +10,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -56,21 +57,45 @@ class ParsedDetector:
 
 
 REGISTRY: dict[str, Callable[[], Detector]] = {}
+#: Detectors with settings in their names, as in ``service:MODE:TYPE``: what makes one from its settings, and all settings that there are.
+FAMILIES: dict[str, tuple[Callable[..., Detector], tuple[tuple[str, ...], ...]]] = {}
 
 
 def register(name: str, make: Callable[[], Detector]) -> None:
     REGISTRY[name] = make
 
 
+def register_family(prefix: str, make: Callable[..., Detector], settings: Iterable[tuple[str, ...]]) -> None:
+    FAMILIES[prefix] = (make, tuple(settings))
+
+
+def _makers(name: str) -> list[Callable[[], Detector]]:
+    if name in REGISTRY:
+        return [REGISTRY[name]]
+    prefix, *given = name.split(":")
+    if given and prefix in FAMILIES:
+        make, settings = FAMILIES[prefix]
+        if tuple(given) not in settings:
+            raise ValueError(f"{prefix!r} has no settings {':'.join(given)!r}; it has: {', '.join(':'.join(s) for s in settings)}")
+        return [partial(make, *given)]
+    if name.endswith("_all"):
+        group = name[:-4]
+        if group in FAMILIES:
+            make, settings = FAMILIES[group]
+            return [partial(make, *s) for s in settings]
+        return [REGISTRY[k] for k in sorted(REGISTRY) if k.startswith(f"{group}:")]
+    return []
+
+
 def build(names: Iterable[str]) -> list[Detector]:
-    """Registered detectors by name; ``group_all`` stands for every name that begins with ``group:``."""
+    """Detectors by name: registered ones, those of a family by their settings, and with ``group_all`` every one of a family or of the names that begin with ``group:``."""
     out: dict[str, Detector] = {}
     for name in names:
-        found = sorted(k for k in REGISTRY if k.startswith(name[:-4] + ":")) if name.endswith("_all") else [name]
-        if not found or found[0] not in REGISTRY:
-            raise ValueError(f"unknown detector {name!r}; known: {', '.join(sorted(REGISTRY))}")
-        for k in found:
-            made = REGISTRY[k]()
+        makers = _makers(name)
+        if not makers:
+            raise ValueError(f"unknown detector {name!r}; known: {', '.join(sorted([*REGISTRY, *FAMILIES]))}")
+        for make in makers:
+            made = make()
             if made.name in out:
                 raise ValueError(f"two detectors are named {made.name!r}")
             out[made.name] = made
@@ -156,6 +181,13 @@ def _span_lists(found: list[Spans | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off), fields, mask=pa.array([x is None for x in found]) if len(found) else None)
 
 
+@arrow_column(f"array<{PREDICTED}>")
+def answer_spans(text: pa.Array, answer: pa.Array) -> pa.Array:
+    """Column: the spans of a model's answers, read tolerantly and located in the texts; null text or answer has none."""
+    rows = zip(text.to_pylist(), answer.to_pylist())
+    return _span_lists([locate_nearest(t, parse_tolerant(a).get("spans", [])) if t is not None else [] for t, a in rows])
+
+
 def spans_of(detector: Detector) -> Callable[[Column], Column]:
     """A column function: the spans of one detector; null text has none."""
 

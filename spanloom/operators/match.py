@@ -25,7 +25,7 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 
 
-def _bounds(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def span_bounds(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
     flat = lists.flatten()
     return np.concatenate(([0], np.cumsum(n))), np.asarray(flat.field("start")), np.asarray(flat.field("end"))
@@ -43,7 +43,7 @@ def any_overlap(gs: np.ndarray, ge: np.ndarray, ps: np.ndarray, pe: np.ndarray)
 
 def greedy_overlap(gs: np.ndarray, ge: np.ndarray, ps: np.ndarray, pe: np.ndarray) -> np.ndarray:
     """For each first span in order, whether a second one, the first in order that overlaps and isn't taken, is left for it."""
-    out, free = np.zeros(len(gs), bool), np.ones(len(ps), bool)
+    out = np.zeros(len(gs), bool)
     if not len(ps):
         return out
     if (np.diff(ps) >= 0).all():  # in order of start: candidates are a range
@@ -51,31 +51,72 @@ def greedy_overlap(gs: np.ndarray, ge: np.ndarray, ps: np.ndarray, pe: np.ndarra
         low = np.searchsorted(np.maximum.accumulate(pe), gs, side="right")
     else:
         low, high = np.zeros(len(gs), np.int64), np.full(len(gs), len(ps))
-    for k in range(len(gs)):
-        a, b = low[k], high[k]
-        hit = free[a:b] & (ps[a:b] < ge[k]) & (pe[a:b] > gs[k])
-        if hit.any():
-            free[a + hit.argmax()] = False
-            out[k] = True
+    # plain numbers: the candidates of a span are few, so calls on slices would cost more than they do
+    left, taken, starts, ends = low.tolist(), bytearray(len(ps)), ps.tolist(), pe.tolist()
+    found = []
+    for k, (a, b, s, e) in enumerate(zip(left, high.tolist(), gs.tolist(), ge.tolist())):
+        for j in range(a, b):
+            if not taken[j] and starts[j] < e and ends[j] > s:
+                taken[j] = 1
+                found.append(k)
+                break
+    out[found] = True
     return out
 
 
-def _flags(kernel):
-    @arrow_column("array<boolean>")
-    def run(gold: pa.Array, spans: pa.Array) -> pa.Array:
-        go, gs, ge = _bounds(gold)
-        po, ps, pe = _bounds(spans)
-        out = np.zeros(len(gs), bool)
-        for k in np.flatnonzero(np.diff(go)):
-            g, p = slice(go[k], go[k + 1]), slice(po[k], po[k + 1])
-            out[g] = kernel(gs[g], ge[g], ps[p], pe[p])
-        return pa.ListArray.from_arrays(pa.array(go.astype(np.int32)), pa.array(out))
-
-    return run
-
-
-#: Columns: for each span of the first array, whether the second has one for it (many to one; one to one).
-overlap_flags, greedy_flags = _flags(any_overlap), _flags(greedy_overlap)
+def on_one_axis(go: np.ndarray, po: np.ndarray, *sides: np.ndarray) -> list[np.ndarray]:
+    """The bounds gs, ge, ps, pe of many documents on one axis, each document's beyond all of those before it."""
+    gs, ge, ps, pe = sides
+    least, most = min((x.min(initial=0) for x in sides)), max((x.max(initial=0) for x in sides))
+    width = int(most - least) + 2
+    row_g, row_p = np.repeat(np.arange(len(go) - 1), np.diff(go)), np.repeat(np.arange(len(po) - 1), np.diff(po))
+    return [gs + row_g * width, ge + row_g * width, ps + row_p * width, pe + row_p * width]
+
+
+def _lists(off: np.ndarray, flags: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flags))
+
+
+@arrow_column("array<boolean>")
+def overlap_flags(gold: pa.Array, spans: pa.Array) -> pa.Array:
+    """Column: for each span of the first array, whether some span of the second overlaps it. All documents of a batch at once."""
+    (go, gs, ge), (po, ps, pe) = span_bounds(gold), span_bounds(spans)
+    return _lists(go, any_overlap(*on_one_axis(go, po, gs, ge, ps, pe)))
+
+
+@arrow_column("array<boolean>")
+def equal_flags(gold: pa.Array, spans: pa.Array) -> pa.Array:
+    """Column: for each span of the first array, whether some span of the second has the same bounds."""
+    (go, gs, ge), (po, ps, pe) = span_bounds(gold), span_bounds(spans)
+    gs, ge, ps, pe = on_one_axis(go, po, gs, ge, ps, pe)
+    start, end = np.concatenate((gs, ps)), np.concatenate((ge, pe))
+    order = np.lexsort((end, start))
+    head = np.ones(len(order), bool)
+    head[1:] = (np.diff(start[order]) != 0) | (np.diff(end[order]) != 0)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(head) - 1
+    there = np.zeros(len(order) + 1, bool)
+    there[group[len(gs) :]] = True
+    return _lists(go, there[group[: len(gs)]])
+
+
+@arrow_column("array<boolean>")
+def greedy_flags(gold: pa.Array, spans: pa.Array) -> pa.Array:
+    """Column: for each span of the first array in order, whether a span of the second is left for it, one to one."""
+    (go, gs, ge), (po, ps, pe) = span_bounds(gold), span_bounds(spans)
+    return _lists(go, _greedy(go, gs, ge, po, ps, pe))
+
+
+def _greedy(go: np.ndarray, gs: np.ndarray, ge: np.ndarray, po: np.ndarray, ps: np.ndarray, pe: np.ndarray) -> np.ndarray:
+    """``greedy_overlap`` of many documents: in order of start they are one on a common axis, otherwise one after the other."""
+    one_axis = on_one_axis(go, po, gs, ge, ps, pe)
+    if (np.diff(one_axis[2]) >= 0).all():
+        return greedy_overlap(*one_axis)
+    out = np.zeros(len(gs), bool)
+    for k in np.flatnonzero(np.diff(go) * np.diff(po)):
+        g, p = slice(go[k], go[k + 1]), slice(po[k], po[k + 1])
+        out[g] = greedy_overlap(gs[g], ge[g], ps[p], pe[p])
+    return out
 
 
 def _counters(mode: str):
@@ -83,15 +124,12 @@ def _counters(mode: str):
 
     @arrow_column(kind)
     def run(gold: pa.Array, spans: pa.Array) -> pa.Array:
-        go, gs, ge = _bounds(gold)
-        po, ps, pe = _bounds(spans)
+        go, gs, ge = span_bounds(gold)
+        po, ps, pe = span_bounds(spans)
         n, row_g, row_p = len(gold), np.repeat(np.arange(len(gold)), np.diff(go)), np.repeat(np.arange(len(gold)), np.diff(po))
         size = ge - gs
         if mode == "relaxed":
-            hit = np.zeros(len(gs), bool)
-            for k in np.flatnonzero(np.diff(go) * np.diff(po)):
-                g, p = slice(go[k], go[k + 1]), slice(po[k], po[k + 1])
-                hit[g] = greedy_overlap(gs[g], ge[g], ps[p], pe[p])
+            hit = _greedy(go, gs, ge, po, ps, pe)
             tp, leaked = np.bincount(row_g, hit, n), np.bincount(row_g, np.where(hit, 0, size), n)
         else:
             keys = [np.concatenate(x) for x in ((ge, pe), (gs, ps), (row_g, row_p))]
@@ -130,11 +168,11 @@ def _array_of(df: DataFrame, name: str) -> str:
 
 
 def unmatched(runs: DataFrame, keys: list[str], which: str) -> DataFrame:
-    """Predicted spans without an equal labelled one (which = "spans"), or labelled ones without a prediction ("gold"), by bounds as sets: duplicates all count as met."""
+    """Predicted spans without an equal labelled one (which = "spans"), or labelled ones without a prediction ("gold"), by bounds as sets: duplicates all count as met. Within the row: no shuffle."""
     other = "gold" if which == "spans" else "spans"
-    mine = runs.where("ok").select(*keys, F.explode(which).alias("s")).select(*keys, "s.*")
-    theirs = runs.where("ok").select(*keys, F.explode(other).alias("s")).select(*keys, "s.start", "s.end")
-    return mine.join(theirs, [*keys, "start", "end"], "left_anti")
+    flagged = runs.where("ok").select(*keys, which, equal_flags(F.col(which), F.col(other)).alias("_met"))
+    each = flagged.select(*keys, F.explode(F.arrays_zip(which, "_met")).alias("z")).where("not z._met")
+    return each.select(*keys, f"z.{which}.*")
 
 
 def found_spans(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import equivalent, mcnemar, paired_difference, ratio
-from .match import overlap_flags
+from .match import equal_flags, overlap_flags
 
 
 def pair_runs(original: DataFrame, changed: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id", "system")) -> DataFrame:
@@ -22,14 +22,17 @@ def pair_runs(original: DataFrame, changed: DataFrame, keys: Sequence[str] = ("b
     return side(original, "o").join(side(changed, "t"), list(keys))
 
 
-def paired_spans(both: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id", "system")) -> DataFrame:
-    """(keys, idx, label, original, changed, masked, found_o, found_t) of every pair of spans."""
-    flagged = both.select(*keys, "gold_o", "gold_t", overlap_flags(F.col("gold_o"), F.col("spans_o")).alias("fo"), overlap_flags(F.col("gold_t"), F.col("spans_t")).alias("ft"))
+def paired_spans(both: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id", "system"), exact: bool = False) -> DataFrame:
+    """(keys, idx, label, original, changed, masked, found_o, found_t) of every pair of spans; with ``exact`` also exact_o and exact_t, whether a prediction has a span's very bounds."""
+    flags = {"fo": overlap_flags("gold_o", "spans_o"), "ft": overlap_flags("gold_t", "spans_t")}
+    if exact:
+        flags |= {"eo": equal_flags("gold_o", "spans_o"), "et": equal_flags("gold_t", "spans_t")}
+    flagged = both.select(*keys, "gold_o", "gold_t", *[c.alias(name) for name, c in flags.items()])
     # not a filter on the sizes: pushed below an exchange it would run the detectors and the rewriting twice
-    even = F.when(F.size("gold_o") == F.size("gold_t"), F.arrays_zip("gold_o", "gold_t", "fo", "ft"))
+    even = F.when(F.size("gold_o") == F.size("gold_t"), F.arrays_zip("gold_o", "gold_t", *flags))
     each = flagged.select(*keys, F.posexplode(even).alias("idx", "z"))
     masked = ~F.col("z.gold_o.text").eqNullSafe(F.col("z.gold_t.text"))
-    return each.select(*keys, "idx", F.col("z.gold_o.label").alias("label"), F.col("z.gold_o.text").alias("original"), F.col("z.gold_t.text").alias("changed"), masked.alias("masked"), F.col("z.fo").alias("found_o"), F.col("z.ft").alias("found_t"))
+    return each.select(*keys, "idx", F.col("z.gold_o.label").alias("label"), F.col("z.gold_o.text").alias("original"), F.col("z.gold_t.text").alias("changed"), masked.alias("masked"), F.col("z.fo").alias("found_o"), F.col("z.ft").alias("found_t"), *([F.col("z.eo").alias("exact_o"), F.col("z.et").alias("exact_t")] if exact else []))
 
 
 def counts() -> list[Column]:
@@ -64,10 +67,13 @@ def statistics(table: DataFrame, margins: Sequence[float] = (0.01, 0.02, 0.03),
 
 
 def retention(pairs: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
-    """Recall in both conditions and their ratio (it may exceed 1) over masked spans."""
-    t = pairs.where("masked").groupBy(*by).agg(*counts())
-    o, c = ratio(F.col("found_original"), F.col("n")), ratio(F.col("found_changed"), F.col("n"))
-    return t.select(*by, "n", F.round(o, 9).alias("recall_original"), F.round(c, 9).alias("recall_changed"), F.round(ratio(F.col("found_changed"), F.col("found_original")), 9).alias("retention"))
+    """Recall in both conditions and their ratio (it may exceed 1) over masked spans, by overlap and by exact bounds."""
+    hits = [F.count_if(f"{kind}_{side}").alias(f"{kind}_{side}") for kind in ("found", "exact") for side in "ot"]
+    t = pairs.where("masked").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *hits)
+    rate = lambda a, b: F.round(ratio(F.col(a), F.col(b)), 9)
+    overlap = [rate("found_o", "n").alias("recall_original"), rate("found_t", "n").alias("recall_changed"), rate("found_t", "found_o").alias("retention")]
+    exact = [rate("exact_o", "n").alias("exact_recall_original"), rate("exact_t", "n").alias("exact_recall_changed"), rate("exact_t", "exact_o").alias("exact_retention")]
+    return t.select(*by, "n", *overlap, *exact)
 
 
 def coverage(pairs: DataFrame) -> DataFrame:
@@ -79,8 +85,8 @@ def lost_composition(pairs: DataFrame) -> DataFrame:
     """Masked spans found only in the original condition, by label: number, share of all lost, and how many kept their length."""
     lost = pairs.where("masked and found_o and not found_t")
     t = lost.groupBy("label").agg(F.count(F.lit(1)).alias("n_lost"), F.count_if(F.length("original") == F.length("changed")).alias("n_same_length"))
-    total = t.agg(F.sum("n_lost").alias("all_lost"))
-    return t.crossJoin(F.broadcast(total)).select("label", "n_lost", "n_same_length", F.round(ratio(F.col("n_lost"), F.col("all_lost")), 9).alias("share"))
+    total = F.sum("n_lost").over(Window.partitionBy(F.lit(0)))  # over a row for each label
+    return t.select("label", "n_lost", "n_same_length", F.round(ratio(F.col("n_lost"), total), 9).alias("share"))
 
 
 def agreement(pairs: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id")) -> DataFrame:

@@ -27,16 +27,18 @@ def last_rows(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def missing_cells(cells: DataFrame, *dimensions: DataFrame) -> DataFrame:
     """Combinations of the dimensions' rows that have no cell."""
     grid = dimensions[0]
-    for d in dimensions[1:]:
-        grid = grid.crossJoin(F.broadcast(d))
+    for d in dimensions[1:]:  # the grid is what is asked for, so its product is the result's own size
+        grid = grid.crossJoin(d)
     return grid.join(cells, grid.columns, "left_anti")
 
 
 def macro_mean(cells: DataFrame, value: str, by: str = "system", over: str = "benchmark") -> DataFrame:
     """Mean over benchmarks, null for a system that lacks one of them; its coverage beside it."""
-    total = cells.agg(F.count_distinct(over).alias("_all"))
-    t = cells.where(F.col(value).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("coverage"), F.avg(value).alias("_mean"))
-    return t.crossJoin(F.broadcast(total)).select(by, "coverage", F.when(F.col("coverage") == F.col("_all"), F.round("_mean", 9)).alias("mean"))
+    each = cells.groupBy(by).agg(F.count(F.col(value)).alias("coverage"), F.avg(value).alias("_mean"), F.collect_set(over).alias("_over"))
+    # over a row for each system; a system's benchmarks are few
+    total = F.size(F.array_distinct(F.flatten(F.collect_list("_over").over(Window.partitionBy(F.lit(0))))))
+    t = each.select(by, "coverage", "_mean", total.alias("_all")).where("coverage > 0")
+    return t.select(by, "coverage", F.when(F.col("coverage") == F.col("_all"), F.round("_mean", 9)).alias("mean"))
 
 
 def paired_cells(original: DataFrame, changed: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -44,9 +46,18 @@ def paired_cells(original: DataFrame, changed: DataFrame, value: str, keys: Sequ
     return original.select(*keys, F.col(value).alias("original")).join(changed.select(*keys, F.col(value).alias("changed")), list(keys), "full")
 
 
+def values_of(rows: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The values of a column that becomes columns, in order; more than ``most`` are refused."""
+    found = rows.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(r[0] for r in found)
+
+
 def delta_matrix(cells: DataFrame, by: str = "system", over: str = "benchmark", columns: Sequence[str] | None = None) -> DataFrame:
-    """Changed minus original by system, a column for each benchmark; null where either is missing."""
-    return cells.groupBy(by).pivot(over, list(columns) if columns else None).agg(F.round(F.max(F.col("changed") - F.col("original")), 9))
+    """Changed minus original by system, a column for each benchmark; null where either is missing. Without ``columns`` the cells are computed twice, once to find them."""
+    names = list(columns) if columns is not None else values_of(cells, over)
+    return cells.groupBy(by).pivot(over, names).agg(F.round(F.max(F.col("changed") - F.col("original")), 9))
 
 
 def extrema(cells: DataFrame, value: str, over: str, lower_is_better: bool = False) -> DataFrame:
@@ -115,7 +126,8 @@ def frequencies(rows: DataFrame, column: str, top: int | None = None) -> DataFra
     """Counts of values and their shares, blank ones as (blank); the ``top`` most frequent, or all."""
     value = F.when(F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))) == "", "(blank)").otherwise(F.trim(F.col(column).cast("string")))
     t = rows.groupBy(value.alias(column)).agg(F.count(F.lit(1)).alias("n"))
-    t = t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("_all")))).select(column, "n", F.round(F.col("n") / F.col("_all"), 9).alias("share"))
+    # the total of the grouped rows: their own aggregate would compute them again. Distinct values are what the window holds
+    t = t.select(column, "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 9).alias("share"))
     return t if top is None else t.orderBy(F.desc("n"), column).limit(top)
 
 
@@ -126,6 +138,35 @@ def annotation_rates(sheet: DataFrame) -> DataFrame:
     return t.where("n > 0").select(F.when(F.col("_g") == 1, "ALL").otherwise(F.col("benchmark")).alias("benchmark"), "n", "unreviewed", F.round(ratio(F.col("valid"), F.col("n")), 9).alias("valid_rate"), F.round(ratio(F.col("consistent"), F.col("n")), 9).alias("consistent_rate"))
 
 
+def aligned(first: DataFrame, second: DataFrame, column: str, key: Sequence[str] = ("id",)) -> DataFrame:
+    """(key, first, second): two raters' labels of the same items, by id. Items that only one has rated, or that either has twice, are an error: the sheets then don't belong together."""
+    side = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(f"_{name}"), F.first(F.trim(F.coalesce(F.col(column).cast("string"), F.lit("")))).alias(name))
+    both = side(first, "first").join(side(second, "second"), list(key), "full")
+    fine = F.coalesce((F.col("_first") == 1) & (F.col("_second") == 1), F.lit(False))
+    refuse = F.raise_error(F.concat(F.lit("not rated once by both: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in key])))
+    return both.select(*key, F.when(fine, F.col("first")).otherwise(refuse).alias("first"), F.when(fine, F.col("second")).otherwise(refuse).alias("second"))
+
+
+def rater_kappa(first: DataFrame, second: DataFrame, column: str = "failure", key: Sequence[str] = ("id",)) -> DataFrame:
+    """``kappa`` of one column in two sheets, aligned by id."""
+    return kappa(aligned(first, second, column, key), "first", "second")
+
+
+def best_systems(scores: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id")) -> DataFrame:
+    """Each document's system of the highest F1, the first by name of equal ones, with that F1."""
+    f1 = F.round(document_f1(F.col("tp"), F.col("fp"), F.col("fn")), 9)
+    t = scores.groupBy(*keys).agg(F.min(F.struct((-f1).alias("f"), "system")).alias("b"))
+    return t.select(*keys, F.col("b.system").alias("system"), (-F.col("b.f")).alias("f1"))
+
+
+def all_systems(*runs: DataFrame) -> DataFrame:
+    """Every system that any of the runs has, once."""
+    out = runs[0].select("system")
+    for r in runs[1:]:
+        out = out.unionByName(r.select("system"))
+    return out.distinct()
+
+
 def kappa(ratings: DataFrame, a: str, b: str) -> DataFrame:
     """Cohen's kappa of two columns of aligned labels: n, agree, observed, expected, kappa (1 if chance agreement is complete)."""
     cell = ratings.groupBy(F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
@@ -166,9 +207,9 @@ def paired_benchmarks(cells: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def named(rows: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
-    """rows with a display name from a small dimension, the key itself where it has none."""
+    """rows with a display name from a dimension, the key itself where it has none. How it is joined follows from the sizes."""
     small = names.select(F.col(key).alias("_k"), F.col(name).alias("_n"))
-    return rows.join(F.broadcast(small), F.col(key) == F.col("_k"), "left").select(*rows.columns, F.coalesce("_n", key).alias(name))
+    return rows.join(small, F.col(key) == F.col("_k"), "left").select(*rows.columns, F.coalesce("_n", key).alias(name))
 
 
 def leaderboard(means: DataFrame, value: str = "mean", lower_is_better: bool = False) -> DataFrame:

@@ -8,54 +8,85 @@ from __future__ import annotations
 
 import difflib
 from bisect import bisect_right
+from hashlib import md5
+from operator import le
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.udf import arrow_column
-from ..functions.text import category, fake_value, stable_number
+from ..functions.text import category_of, fake_text
 from ..schema import SPAN
+from .match import any_overlap, on_one_axis, span_bounds
 
 _SPLICED = f"struct<text:string,spans:array<{SPAN}>,n:bigint>"
 
 
-def splice_text(text: str, spans: list[dict], values: list[str | None], clip: bool = False) -> tuple[str, list[dict]]:
-    """Text with each span, in order of start, replaced by its value (None: left as it is), and the spans at their new places.
+def splice_bounds(text: str, starts: list[int], ends: list[int], values: list[str | None], clip: bool = False) -> tuple[str, list[int], list[int], list[int], list[str]]:
+    """Text with each span, in order of start, replaced by its value (None: left as it is); which spans were kept, and their new bounds and texts.
 
     A span that begins before the end of an earlier one is left out; with ``clip`` it is kept from that end on instead.
     """
-    out, kept, cursor, shift = [], [], 0, 0
-    for k in sorted(range(len(spans)), key=lambda k: spans[k]["start"]):
-        s, value = spans[k], values[k]
-        start, end = max(s["start"], 0), min(s["end"], len(text))
+    out, kept, new_starts, new_ends, pieces = [], [], [], [], []
+    cursor = shift = 0
+    n = len(text)
+    order = range(len(starts)) if all(map(le, starts, starts[1:])) else sorted(range(len(starts)), key=starts.__getitem__)
+    for k in order:
+        start, end, value = max(starts[k], 0), min(ends[k], n), values[k]
         if start < cursor:
             if not clip:
                 continue
             start = cursor
         if end < start:
             continue
-        old = text[start:end]
-        new = old if value is None else value[: end - start] if clip else value
-        out += [text[cursor:start], new]
-        kept.append(s | dict(start=start + shift, end=start + shift + len(new), text=new))
+        new = text[start:end] if value is None else value[: end - start] if clip else value
+        out.append(text[cursor:start])
+        out.append(new)
+        kept.append(k)
+        new_starts.append(start + shift)
+        new_ends.append(start + shift + len(new))
+        pieces.append(new)
         shift += len(new) - (end - start)
         cursor = end
-    return "".join(out) + text[cursor:], kept
+    out.append(text[cursor:])
+    return "".join(out), kept, new_starts, new_ends, pieces
+
+
+def splice_text(text: str, spans: list[dict], values: list[str | None], clip: bool = False) -> tuple[str, list[dict]]:
+    """``splice_bounds`` for spans as dictionaries: the new text, and the spans at their new places."""
+    new, kept, starts, ends, pieces = splice_bounds(text, [s["start"] for s in spans], [s["end"] for s in spans], values, clip)
+    return new, [spans[k] | dict(start=a, end=b, text=piece) for k, a, b, piece in zip(kept, starts, ends, pieces)]
 
 
 def _spliced(clip: bool):
     @arrow_column(_SPLICED)
     def run(text: pa.Array, spans: pa.Array, values: pa.Array) -> pa.Array:
-        rows = []
-        for t, s, v in zip(text.to_pylist(), spans.to_pylist(), values.to_pylist()):
+        flat, news = spans.flatten(), values.flatten().to_pylist()
+        starts, ends = np.asarray(flat.field("start")).tolist(), np.asarray(flat.field("end")).tolist()
+        first = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(spans), 0)))).tolist()
+        new_first = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(values), 0)))).tolist()
+        texts, kept, new_starts, new_ends, pieces, sizes = [], [], [], [], [], []
+        for row, t in enumerate(text.to_pylist()):
+            a, b, at = first[row], first[row + 1], new_first[row]
             if t is None:
-                rows.append({"text": None, "spans": [], "n": 0})
+                texts.append(None)
+                sizes.append(0)
                 continue
-            new, kept = splice_text(t, s or [], v or [], clip)
-            rows.append({"text": new, "spans": kept, "n": len(kept)})
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("text", pa.string())])
-        return pa.array(rows, pa.struct([("text", pa.string()), ("spans", pa.list_(span)), ("n", pa.int64())]))
+            given = new_first[row + 1] - at
+            made = splice_bounds(t, starts[a:b], ends[a:b], news[at : at + given] + [None] * (b - a - given), clip)
+            texts.append(made[0])
+            sizes.append(len(made[1]))
+            kept += [a + k for k in made[1]]
+            new_starts += made[2]
+            new_ends += made[3]
+            pieces += made[4]
+        off = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        labels = flat.field("label").take(pa.array(kept, pa.int64()))
+        moved = pa.StructArray.from_arrays([pa.array(new_starts, pa.int64()), pa.array(new_ends, pa.int64()), labels, pa.array(pieces, pa.string())], ["start", "end", "label", "text"])
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.ListArray.from_arrays(off, moved), pa.array(sizes, pa.int64())], ["text", "spans", "n"])
 
     return run
 
@@ -65,8 +96,8 @@ splice, overwrite = _spliced(False), _spliced(True)
 
 
 def mask_labels(text: Column, spans: Column) -> Column:
-    """Each span as its label in brackets; spans that begin inside an earlier one are left out."""
-    return splice(text, spans, F.transform(spans, lambda s: F.concat(F.lit("["), s["label"], F.lit("]"))))["text"]
+    """Each span as its label in brackets, PHI where it has none; spans that begin inside an earlier one are left out."""
+    return splice(text, spans, F.transform(spans, lambda s: F.concat(F.lit("["), F.coalesce(s["label"], F.lit("PHI")), F.lit("]"))))["text"]
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -76,13 +107,32 @@ def redact(text: Column, spans: Column) -> Column:
 
 def surrogates(spans: Column, doc_id: Column, language: Column, seed: int, masked: Column | None = None, variant: str = "v2") -> Column:
     """A value for each span: a surrogate of its category chosen by (seed, document, ordinal, category), or null where ``masked`` (an array of flags) is false."""
-    # in steps, as a lambda's repeated parts would be computed each time
-    kinds = F.transform(spans, lambda s, i: F.struct(category(s["label"], variant).alias("kind"), i.alias("i")))
-    drawn = F.transform(kinds, lambda x: F.struct(x["kind"].alias("kind"), stable_number(F.lit(seed), doc_id, x["i"], x["kind"]).alias("h")))
-    values = F.transform(drawn, lambda x: fake_value(x["kind"], language, x["h"]))
+    values = drawn_values(seed, variant)(spans, doc_id, language)
     return values if masked is None else F.zip_with(values, masked, lambda v, m: F.when(m, v))
 
 
+def drawn_values(seed: int, variant: str = "v2"):
+    """A column function of spans, document and language to surrogates. A lambda in the JVM would go through the whole cascade of kinds for each span, interpreted."""
+
+    @arrow_column("array<string>")
+    def run(spans: pa.Array, doc_id: pa.Array, language: pa.Array) -> pa.Array:
+        coded = spans.flatten().field("label").dictionary_encode("encode")
+        kinds = [category_of(x, variant) for x in coded.dictionary.to_pylist()]
+        kind = [kinds[k] for k in coded.indices.to_pylist()]
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(spans), 0)).astype(np.int64)
+        out, at = [], 0
+        for n, d, lang in zip(sizes.tolist(), pc.cast(doc_id, pa.string()).to_pylist(), language.to_pylist()):
+            head = f"{seed}|" if d is None else f"{seed}|{d}|"
+            for i in range(n):
+                k = kind[at + i]
+                out.append(fake_text(k, lang, int(md5(f"{head}{i}|{k}".encode()).hexdigest()[:8], 16)))
+            at += n
+        off = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        return pa.ListArray.from_arrays(off, pa.array(out, pa.string()), mask=spans.is_null() if spans.null_count else None)
+
+    return run
+
+
 def rewritten(docs: DataFrame, values: Column) -> DataFrame:
     """docs with text and gold as rewritten, other columns as they are."""
     made = docs.select(*docs.columns, splice(F.col("text"), F.col("gold"), values).alias("_made"))
@@ -127,10 +177,47 @@ def remap(old: pa.Array, new: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("text", pa.string())])))
 
 
+#: Marks in order of weight, and their colours.
+MARKS = {"tp": "#CDEBD9", "fp": "#F6E7A6", "miss": "#F3C9C4"}
+
+
+def marked_html(text: str, marks: list[tuple[int, int, str]]) -> str:
+    """HTML of a text in which each character has the weightiest mark that covers it: a hit before a false alarm before a miss. Equal neighbours share an element."""
+    rank = {k: n for n, k in enumerate(MARKS)}
+    none = len(MARKS)
+    level = np.full(len(text) + 1, none, np.int8)
+    for a, b, kind in sorted((m for m in marks if m[2] in rank), key=lambda m: -rank[m[2]]):
+        level[max(a, 0) : max(b, 0)] = rank[kind]
+    level[-1] = none + 1
+    cuts = [0, *(np.flatnonzero(np.diff(level)) + 1).tolist()]
+    names = list(MARKS)
+    parts = []
+    for a, b in zip(cuts, cuts[1:]):
+        piece = text[a:b].replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        k = level[a]
+        parts.append(piece if k >= none else f'<span class="{names[k]}" style="background:{MARKS[names[k]]}">{piece}</span>')
+    return "".join(parts)
+
+
+@arrow_column("string")
+def judged_html(text: pa.Array, gold: pa.Array, spans: pa.Array) -> pa.Array:
+    """Column form of ``marked_html``: predictions that overlap a labelled span are hits, others false alarms; labelled spans that none overlaps are misses."""
+    (go, gs, ge), (po, ps, pe) = span_bounds(gold), span_bounds(spans)
+    axis = on_one_axis(go, po, gs, ge, ps, pe)
+    met = any_overlap(*axis)
+    hit = any_overlap(*axis[2:], *axis[:2])
+    out = []
+    for row, t in enumerate(text.to_pylist()):
+        p, g = range(po[row], po[row + 1]), range(go[row], go[row + 1])
+        marks = [(int(ps[k]), int(pe[k]), "tp" if hit[k] else "fp") for k in p] + [(int(gs[k]), int(ge[k]), "miss") for k in g if not met[k]]
+        out.append(None if t is None else marked_html(t, marks))
+    return pa.array(out, pa.string())
+
+
 def highlighted(text: Column, spans: Column) -> Column:
     """HTML of a text, its spans as marks; spans that begin inside an earlier one are left out."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    values = F.transform(spans, lambda s: F.concat(F.lit("\ue000"), s["label"], F.lit("\ue001"), s["text"], F.lit("\ue002")))
+    values = F.transform(spans, lambda s: F.concat(F.lit("\ue000"), F.coalesce(s["label"], F.lit("PHI")), F.lit("\ue001"), F.coalesce(s["text"], F.lit("")), F.lit("\ue002")))
     out = escape(splice(text, spans, values)["text"])
     for mark, tag in (("\ue000", '<mark data-label="'), ("\ue001", '">'), ("\ue002", "</mark>")):  # private-use characters, which texts don't hold
         out = F.replace(out, F.lit(mark), F.lit(tag))

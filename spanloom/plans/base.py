@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import category_sql, fake_value_sql, stable_number, stable_number_sql
+from ..functions.text import category_sql, fake_value_sql, stable_number_sql, stable_numbers
 from ..operators.detect import RegexDetector, predictions, run_rows, spans_of
 from ..operators.rewrite import redact, splice, surrogates
 from ..schema import SPAN
@@ -49,7 +49,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked_flags(gold: Column, doc_id: Column) -> Column:
     """Which spans the changed condition replaces: three in four, by a hash of document and ordinal."""
-    return F.transform(gold, lambda s, i: stable_number(F.lit(SEED + 1), doc_id, i) % 4 != 0)
+    return F.transform(stable_numbers(SEED + 1)(gold, doc_id), lambda h: h % 4 != 0)
 
 
 def changed_values() -> Column:

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import Z95, bootstrap_half_width, paired_difference, tost_p
-from ..functions.text import VARIANTS, category, category_sql, context_window, run_name, run_time, verdict, well_formed_sql
+from ..functions.text import VARIANTS, category, category_sql, contexts, delta, percent, run_name, run_time, stable_number_sql, verdict, well_formed_sql
 from ..operators import paired, report, rewrite, score
-from ..operators.detect import run_rows, spans_of
+from ..operators.detect import answer_spans, run_rows, spans_of
 from ..operators.match import found_spans, from_relations, overlap_flags, unmatched
-from ..sources.readers import tagged_spans
+from ..sources.readers import response_spans, tagged_spans
 from ..streaming.scoring import event_windows
 from . import base
 from .base import BASE_SQL, CHANGED_SQL, DOCS_SQL, GOLD_SQL, PAIRED_SQL, REDACTED_SQL, averaged_sql, found_sql, ratio_sql, scored_sql, spliced_sql
@@ -65,7 +65,15 @@ def score_by_label(spark, d):
     return score.label_scores(base.runs(spark, d))
 
 
-@query()
+_GREEDY = f"""{BASE_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, offers AS MATERIALIZED (SELECT a.doc_id, a.system, coalesce(p.ps, []) AS ps FROM attempt a LEFT JOIN (SELECT doc_id, system, list({{'i': idx, 's': s, 'e': e}} ORDER BY idx) AS ps FROM pred GROUP BY ALL) p USING (doc_id, system)),
+steps AS (SELECT doc_id, system, -1::BIGINT AS k, []::BIGINT[] AS taken, false AS hit, 0::BIGINT AS size FROM attempt
+  UNION ALL SELECT doc_id, system, k + 1, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick IS NOT NULL, size FROM (
+    SELECT t.doc_id, t.system, t.k, t.taken, g.e - g.s AS size, list_filter(o.ps, lambda x: x.s < g.e AND x.e > g.s AND NOT list_contains(t.taken, x.i))[1].i AS pick FROM steps t JOIN gold g ON g.doc_id = t.doc_id AND g.idx = t.k + 1 JOIN offers o ON o.doc_id = t.doc_id AND o.system = t.system)),
+scored AS (SELECT a.benchmark, a.doc_id, a.language, a.system, count(*) FILTER (WHERE hit) AS tp, any_value(len(o.ps)) - count(*) FILTER (WHERE hit) AS fp, count(*) FILTER (WHERE NOT hit AND k >= 0) AS fn, coalesce(sum(size) FILTER (WHERE NOT hit), 0)::BIGINT AS gold_chars_leaked, sum(size)::BIGINT AS gold_chars_total
+  FROM attempt a JOIN offers o USING (doc_id, system) JOIN steps USING (doc_id, system) GROUP BY ALL)"""
+
+
+@query(f"{_GREEDY} {averaged_sql('system')}")
 def relaxed_greedy(spark, d):
     return score.micro_average(score.document_scores(base.runs(spark, d), "relaxed"), ("system",), 9)
 
@@ -190,9 +198,18 @@ def tost_p_values(spark, d):
     return t.select("benchmark", "n", "b", "c", tost_p(F.col("n"), diff, se, F.lit(0.02)).alias("p"))
 
 
-@query(f"{PAIRED_SQL} SELECT system, n, round(found_original::DOUBLE / n, 9) AS recall_original, round(found_changed::DOUBLE / n, 9) AS recall_changed, round({ratio_sql('found_changed', 'found_original')}, 9) AS retention FROM (SELECT system, {_COUNTS} FROM pairs WHERE masked GROUP BY system)")
+_EXACT = "EXISTS (SELECT 1 FROM {pred} p WHERE p.doc_id = {gold}.doc_id AND p.system = a.system AND p.s = {gold}.s AND p.e = {gold}.e)"
+
+
+@query(
+    f"""{PAIRED_SQL}, x AS (SELECT a.system, count(*) AS n, count(*) FILTER (WHERE a.found_o) AS found_o, count(*) FILTER (WHERE a.found_t) AS found_t, count(*) FILTER (WHERE {_EXACT.format(pred='pred', gold='g')}) AS exact_o, count(*) FILTER (WHERE {_EXACT.format(pred='pred_t', gold='t')}) AS exact_t
+  FROM pairs a JOIN gold g ON g.doc_id = a.doc_id AND g.idx = a.idx JOIN gold_t t ON t.doc_id = a.doc_id AND t.idx = a.idx WHERE a.masked GROUP BY a.system)
+SELECT system, n, """
+    + ", ".join(f"round({k}_o::DOUBLE / n, 9) AS {p}recall_original, round({k}_t::DOUBLE / n, 9) AS {p}recall_changed, round({ratio_sql(f'{k}_t', f'{k}_o')}, 9) AS {p}retention" for k, p in (("found", ""), ("exact", "exact_")))
+    + " FROM x"
+)
 def retention(spark, d):
-    return paired.retention(_pairs(spark, d))
+    return paired.retention(paired.paired_spans(base.both_runs(spark, d), exact=True))
 
 
 @query(f"{PAIRED_SQL} SELECT label, count(*) AS n, count(*) FILTER (WHERE masked) AS n_masked, round(count(*) FILTER (WHERE masked)::DOUBLE / count(*), 9) AS share FROM pairs GROUP BY label")
@@ -272,12 +289,13 @@ def _f1_sql(source: str, by: str) -> str:
     return f"SELECT {by}, {ratio_sql('2 * tp', '2 * tp + fp + fn')} AS f1 FROM (SELECT {by}, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM {source} GROUP BY {by})"
 
 
-_LANGUAGES = ("de", "en", "es", "fr")
+_LANGUAGES = ("de", "en", "es", "fr")  # of the driver's tables, for the SQL alone
 
 
 @query(f"{_F1S}, c AS (SELECT o.system, o.language, t.f1 - o.f1 AS d FROM ({_f1_sql('scored', 'system, language')}) o JOIN ({_f1_sql('scored_t', 'system, language')}) t USING (system, language)) SELECT system, " + ", ".join(f"round(max(d) FILTER (WHERE language = '{x}'), 9) AS {x}" for x in _LANGUAGES) + " FROM c GROUP BY system")
 def delta_matrix(spark, d):
-    return report.delta_matrix(score.both_f1(base.both_runs(spark, d), ("system", "language")), over="language", columns=_LANGUAGES)
+    languages = report.values_of(base.table(spark, d, "documents"), "lang")
+    return report.delta_matrix(score.both_f1(base.both_runs(spark, d), ("system", "language")), over="language", columns=languages)
 
 
 @query(f"{BASE_SQL}, {scored_sql('type')}, c AS ({_f1_sql('scored', 'system, benchmark')}) SELECT system, count(*) AS coverage, CASE WHEN count(*) = (SELECT count(DISTINCT benchmark) FROM c) THEN round(avg(f1), 9) END AS mean FROM c WHERE NOT (system = 'wide' AND benchmark = 'src0') GROUP BY system")
@@ -326,7 +344,9 @@ _KAPPA = "WITH r AS (SELECT CAST(quality AS VARCHAR) AS a, CAST(1 - toxic AS VAR
 
 @query(f"{_KAPPA} SELECT n, agree, round(agree::DOUBLE / n, 9) AS observed, round(e / (n * n), 9) AS expected, round((agree::DOUBLE / n - e / (n * n)) / (1 - e / (n * n)), 9) AS kappa FROM n, e")
 def kappa(spark, d):
-    return report.kappa(base.table(spark, d, "labels").select("quality", (1 - F.col("toxic")).alias("clean")), "quality", "clean")
+    """Of two sheets, aligned by document."""
+    labels = base.table(spark, d, "labels")
+    return report.rater_kappa(labels.select("doc_id", F.col("quality").alias("failure")), labels.select("doc_id", (1 - F.col("toxic")).alias("failure")), key=["doc_id"])
 
 
 _SHEET = "WITH sheet AS (SELECT d.source AS benchmark, CASE l.quality WHEN 1 THEN 'Y' ELSE ' n' END AS valid, CASE l.toxic WHEN 0 THEN 'y ' ELSE 'N' END AS type_consistent, CASE WHEN d.doc_id % 2 = 0 THEN 'Y' END AS reviewed FROM documents d JOIN labels l USING (doc_id))"
@@ -339,18 +359,10 @@ def annotation_rates(spark, d):
     return report.annotation_rates(sheet)
 
 
-@query(f"WITH {DOCS_SQL}, {GOLD_SQL} SELECT g.doc_id, CAST(g.idx AS INTEGER) AS idx, translate(substr(d.text, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || '⟦' || substr(d.text, s + 1, e - s) || '⟧' || substr(d.text, e + 1, 40), chr(10), ' ') AS context FROM gold g JOIN docs d USING (doc_id) WHERE g.label <> 'GIVEN_NAME'")
-def span_context(spark, d):
-    wanted = F.filter(F.transform("gold", lambda s, i: F.struct(i.alias("idx"), s.alias("s"))), lambda x: x["s"]["label"] != "GIVEN_NAME")
-    each = base.corpus(spark, d).select("doc_id", "text", F.explode(wanted).alias("w"))
-    return each.select("doc_id", F.col("w.idx").alias("idx"), context_window(F.col("text"), F.col("w.s.start"), F.col("w.s.end")).alias("context"))
-
-
 @query(f"WITH {DOCS_SQL}, {GOLD_SQL} SELECT g.doc_id, CAST(g.idx AS INTEGER) AS idx, g.label, translate(substr(d.text, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || '⟦' || substr(d.text, s + 1, e - s) || '⟧' || substr(d.text, e + 1, 40), chr(10), ' ') AS context FROM gold g JOIN docs d USING (doc_id)")
-def span_context_all(spark, d):
-    """Contexts of the spans of every label; span_context has those of all labels but GIVEN_NAME."""
-    each = base.corpus(spark, d).select("doc_id", "text", F.posexplode("gold").alias("idx", "s"))
-    return each.select("doc_id", "idx", "s.label", context_window(F.col("text"), F.col("s.start"), F.col("s.end")).alias("context"))
+def span_context(spark, d):
+    each = base.corpus(spark, d).select("doc_id", F.posexplode(F.arrays_zip(F.col("gold.label"), contexts()("text", "gold").alias("context"))).alias("idx", "z"))
+    return each.select("doc_id", "idx", F.col("z.label").alias("label"), F.col("z.context").alias("context"))
 
 
 @query(f"WITH {DOCS_SQL}, {GOLD_SQL} SELECT d.benchmark, count(*) AS n_docs, sum(coalesce(g.n, 0))::BIGINT AS n_spans, sum(strlen(d.text))::BIGINT AS n_bytes FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id) g USING (doc_id) GROUP BY d.benchmark")
@@ -406,6 +418,13 @@ def highlighted_turns(spark, d):
     return rows.select("conv_id", "turn", rewrite.highlighted(F.col("text"), F.col("gold")).alias("html"))
 
 
+@query()
+def judged_documents(spark, d):
+    """Documents with the tight detector's hits, false alarms and misses marked."""
+    docs = base.corpus(spark, d)
+    return docs.select("doc_id", rewrite.judged_html(F.col("text"), F.col("gold"), spans_of(base.SYSTEMS[1])(F.col("text"))).alias("html"))
+
+
 @query(f"{BASE_SQL}, {scored_sql('type')} {averaged_sql('system')}")
 def score_from_relations(spark, d):
     """Through the normalised relations: spans taken apart, stored as rows and put together again."""
@@ -443,3 +462,50 @@ def review_filter(spark, d):
 @query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_counts(spark, d):
     return event_windows(base.table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query(f"{BASE_SQL}, {scored_sql('type')} SELECT benchmark, doc_id, arg_min(system, (-f1, system)) AS system, max(f1) AS f1 FROM (SELECT benchmark, doc_id, system, round({_DOC_F1}, 9) AS f1 FROM scored) GROUP BY benchmark, doc_id")
+def best_system(spark, d):
+    return report.best_systems(score.document_scores(base.runs(spark, d)))
+
+
+@query("SELECT source AS system FROM documents UNION SELECT role FROM conversations")
+def system_union(spark, d):
+    return report.all_systems(base.table(spark, d, "documents").select(F.col("source").alias("system")), base.table(spark, d, "conversations").select(F.col("role").alias("system")))
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50")
+def head_rows(spark, d):
+    return report.head(base.table(spark, d, "documents").select("doc_id", "lang"), 50, ["doc_id"])
+
+
+@query(f"SELECT doc_id, lang FROM documents ORDER BY {stable_number_sql('7', 'doc_id')}, doc_id LIMIT 50")
+def seeded_rows(spark, d):
+    return report.seeded_take(base.table(spark, d, "documents").select("doc_id", "lang"), 50, ["doc_id"], seed=7)
+
+
+@query("SELECT event_id, coalesce(printf('%.1f', v * 100), '—') AS percent, coalesce(printf('%+.3f', v - 0.5), '—') AS delta FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN (event_id % 1000)::DOUBLE / 1000 END AS v FROM events)")
+def shown_numbers(spark, d):
+    """Of values with three decimals: engines round ties apart."""
+    rows = base.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 1000) / 1000).alias("v"))
+    return rows.select("event_id", percent(F.col("v")).alias("percent"), delta(F.col("v") - 0.5).alias("delta"))
+
+
+@query(f'WITH {DOCS_SQL}, {GOLD_SQL} SELECT doc_id, CAST(idx AS INTEGER) AS idx, s AS start, e AS "end", label, text FROM gold')
+def located_answers(spark, d):
+    """Gold spans as a model would answer them, fenced JSON with hints, read tolerantly and located again."""
+    entry = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["text"].alias("text"))
+    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.transform("gold", entry).alias("spans"))), F.lit("\n```"))
+    rows = base.corpus(spark, d).select("doc_id", answer_spans(F.col("text"), answer).alias("s"))
+    return rows.select("doc_id", F.posexplode("s").alias("idx", "s")).select("doc_id", "idx", "s.start", "s.end", "s.label", "s.text")
+
+
+@query(f'WITH {DOCS_SQL}, {GOLD_SQL} SELECT doc_id, CAST(idx AS INTEGER) AS idx, s AS start, e AS "end", label, text FROM gold')
+def service_answers(spark, d):
+    """Gold spans as a service answers them, with text offsets, read again; documents take turns in the names of the parts."""
+    entity = lambda s: F.struct(s["start"].cast("string").alias("start"), s["end"].cast("string").alias("end"), s["label"].alias("type"), s["text"].alias("value"))
+    list_ = F.to_json(F.transform("gold", entity))
+    name = F.element_at(F.array(*map(F.lit, ("entities", "detections", "phi_entities"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    body = F.concat(F.lit('{"'), name, F.lit('": '), list_, F.lit("}"))
+    rows = base.corpus(spark, d).select("doc_id", response_spans(body, F.col("text")).alias("s"))
+    return rows.select("doc_id", F.posexplode("s").alias("idx", "s")).select("doc_id", "idx", "s.start", "s.end", "s.label", "s.text")

@@ -196,8 +196,14 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("stem", F.regexp_replace(F.col("_metadata.file_name"), r"(\.summary)?\.json$", "")).where("system is not null")
 
 
+CELL = "system string, corpus string, benchmark string, masked bigint, found bigint, recall_pct double"
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema("system string, corpus string, benchmark string, masked bigint, found bigint, recall_pct double").json(path)
+    """Cells as JSON objects, one for a file, over lines or not, or one for a line; unreadable ones are skipped."""
+    files = spark.read.text(path, wholetext=True)
+    each = files.select(F.explode(F.split(F.trim(F.col("value"), F.lit(" \t\r\n")), r"\n(?=\{)")).alias("v"))
+    return each.select(F.from_json("v", CELL).alias("c")).where("c.system is not null").select("c.*")
 
 
 SHEET = tuple("id benchmark doc_id type original surrogate context failure valid type_consistent reviewed notes".split())
@@ -225,11 +231,47 @@ def substring_spans(text: Column, wanted: dict[str, str]) -> Column:
     return F.filter(found, lambda s: s["start"] >= 0)
 
 
-#: Corpora by name; loaders take (spark, path) and their own options.
-CORPORA: dict[str, Callable[..., DataFrame]] = {"jsonl": read_jsonl, "standoff": read_standoff, "tagged": read_tagged, "blocks": read_blocks, "rewritten": read_rewritten}
+def read_hub(spark: SparkSession, path: str, language: str | None = None, split: str = "validation", benchmark: str = "hub") -> DataFrame:
+    """A hub table stored as Parquet or as JSON lines."""
+    rows = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.json(path)
+    return hub_documents(rows, language, split, benchmark)
+
+
+#: Formats by name; loaders take (spark, path) and their own options.
+FORMATS: dict[str, Callable[..., DataFrame]] = {"jsonl": read_jsonl, "standoff": read_standoff, "tagged": read_tagged, "blocks": read_blocks, "hub": read_hub, "rewritten": read_rewritten}
+#: Corpora by name: their format and its options. Each has a rewritten form, named with ``_transformed``.
+CORPORA: dict[str, tuple[str, dict]] = {
+    "asq_phi": ("jsonl", {"language": "en"}),
+    "meddocan": ("standoff", {"language": "es"}),
+    "multiconer_v2": ("tagged", {"language": "en"}),
+    "pii_masking_300k": ("hub", {"language": "English"}),
+    "pii_masking_300k_dutch": ("hub", {"language": "Dutch"}),
+    "pii_masking_300k_french": ("hub", {"language": "French"}),
+    "pii_masking_300k_german": ("hub", {"language": "German"}),
+}
+CHANGED = "_transformed"
+_CODES = {"English": "en", "Dutch": "nl", "French": "fr", "German": "de"}
+
+
+def register_corpus(name: str, kind: str, **options) -> None:
+    if kind not in FORMATS:
+        raise ValueError(f"unknown corpus format {kind!r}; known: {', '.join(sorted(FORMATS))}")
+    CORPORA[name] = (kind, options)
+
+
+def corpus_names() -> list[str]:
+    return sorted([*CORPORA, *[f"{c}{CHANGED}" for c in CORPORA]])
 
 
 def load(spark: SparkSession, name: str, path: str, **options) -> DataFrame:
-    if name not in CORPORA:
-        raise ValueError(f"unknown corpus format {name!r}; known: {', '.join(sorted(CORPORA))}")
-    return CORPORA[name](spark, path, **options)
+    """A corpus by its name, or by that of its format: options given here come before the corpus's own."""
+    if name in FORMATS:
+        return FORMATS[name](spark, path, **options)
+    base = name.removesuffix(CHANGED)
+    if base not in CORPORA:
+        raise ValueError(f"unknown corpus or format {name!r}; known: {', '.join([*corpus_names(), *sorted(FORMATS)])}")
+    kind, own = CORPORA[base]
+    if base != name:
+        language = own.get("language", "en")
+        kind, own = "rewritten", {"language": _CODES.get(language, language)}
+    return FORMATS[kind](spark, path, **{"benchmark": name, **own, **options})
