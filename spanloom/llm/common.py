@@ -1,33 +1,41 @@
-"""Helpers shared by the training-data operators: UTF-8 buffers, word hashes, the shared folder."""
+"""Helpers shared by the training-data operators: columns by role, UTF-8 buffers, word hashes, the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import discard, scratch_path, shared_dir, written  # noqa: F401
+
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; a local one of our own only where the setting is absent (tests)."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = sc._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="spanloom-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
+def shielded(df: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """df with its columns renamed by position to c0, c1, ..., and a function from a column's own name to the renamed column.
+
+    Whatever the columns are called (in other letter cases, with dots or backticks, like a column that an operator
+    adds, which begins with _), no name of theirs can clash. ``.toDF(*df.columns)`` gives the names back.
+    """
+    names = df.columns
+
+    def find(name: str) -> Column:
+        same = [k for k, c in enumerate(names) if c == name] or [k for k, c in enumerate(names) if c.lower() == name.lower()]
+        if len(same) != 1:
+            raise ValueError(f"{'no' if not same else 'more than one'} column {name!r} among {names}")
+        return F.col(f"c{same[0]}")
 
+    return df.toDF(*[f"c{k}" for k in range(len(names))]), find
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+def roles(df: DataFrame, **wanted: str) -> DataFrame:
+    """The columns named by the values, as the names of the keywords."""
+    plain, find = shielded(df)
+    return plain.select(*[find(name).alias(role) for role, name in wanted.items()])
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,14 +44,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, for results that several jobs read."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets into them, without Python strings; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

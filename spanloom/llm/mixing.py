@@ -8,9 +8,10 @@ every document gets the whole part, and one more with the probability of the fra
 its id.
 
 Defined cases: null source is a source of its own (the name ""); null or empty text counts 0 code points and is repeated
-as the rest of its source; a source without code points, or with weight 0 or less, gets 0 repetitions; if all caps
-together are under the budget, all are clamped. Repeated rows share their id's draw; null ids share one draw. No rows:
-no rows.
+as the rest of its source; very long text counts all its code points; a source without code points, or with weight 0 or
+less, gets 0 repetitions; if all caps together are under the budget, all are clamped. Sources of equal cap / weight are
+clamped or free together, so their order doesn't matter. Repeated rows share their id's draw; null ids share one draw.
+Further columns may have any names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import roles, shielded, unit_hash
 
 #: Rows of the allocation up to which it is sent to all executors; beyond it is joined with a shuffle.
 BROADCAST_SOURCES = 100_000
@@ -37,7 +38,8 @@ def water_fill(docs: DataFrame, weights: Mapping[str, float], default_weight: fl
     budget_ratio: the budget as a multiple of all code points. The order of ratios makes the one window here global, over
     one row for each source.
     """
-    sizes = docs.groupBy(_source(F.col(source_col)).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).cast("bigint").alias("amount"))
+    rows = roles(docs, s=source_col, t=text_col)
+    sizes = rows.groupBy(_source(F.col("s")).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.length(F.col("t").cast("string"))), F.lit(0)).cast("bigint").alias("amount"))
     weight = F.lit(float(default_weight))
     if weights:
         weight = F.coalesce(F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])[F.col("source")], weight)
@@ -58,17 +60,12 @@ def water_fill(docs: DataFrame, weights: Mapping[str, float], default_weight: fl
     return level.select("source", "n_docs", "amount", "weight", share.alias("share")).select("*", F.when(F.col("amount") > 0, F.round(F.col("share") / F.col("amount"), 9)).otherwise(0.0).alias("repeats"))
 
 
-def _repeats(docs: DataFrame, allocation: DataFrame, source_col: str) -> DataFrame:
-    """docs with its source's repetitions as a last column of a name that docs doesn't have."""
+def _repeats(docs: DataFrame, allocation: DataFrame, source: Column) -> DataFrame:
+    """docs with its source's repetitions as a last column _repeats; docs has no column that begins with _."""
     rows = allocation.select("source", "repeats").take(BROADCAST_SOURCES + 1)
-    small = docs.sparkSession.createDataFrame(rows, "source string, repeats double") if len(rows) <= BROADCAST_SOURCES else allocation.select("source", "repeats")
-    name = "repeats"
-    while name in docs.columns or name == source_col:
-        name += "_"
-    small = small.select(F.col("source").alias(f"{name}s"), F.col("repeats").alias(name))
-    if len(rows) <= BROADCAST_SOURCES:
-        small = F.broadcast(small)
-    return docs.join(small, _source(docs[source_col]) == small[f"{name}s"]).drop(f"{name}s")
+    few = len(rows) <= BROADCAST_SOURCES
+    small = docs.sparkSession.createDataFrame(rows, "_s string, _repeats double") if few else allocation.select(F.col("source").alias("_s"), F.col("repeats").alias("_repeats"))
+    return docs.join(F.broadcast(small) if few else small, _source(source) == F.col("_s")).drop("_s")
 
 
 def copies(repeats: Column, id_col: Column, seed: int) -> Column:
@@ -79,17 +76,16 @@ def copies(repeats: Column, id_col: Column, seed: int) -> Column:
 def mixture(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1.0, max_epochs: float = MAX_EPOCHS, budget_ratio: float = 1.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row for each document: id, source, the source's repeats and the document's copies (0 if it isn't drawn)."""
     fill = water_fill(docs, weights, default_weight, max_epochs, budget_ratio, text_col, source_col)
-    slim = docs.select(F.col(id_col).alias("i"), _source(F.col(source_col)).alias("s"))
-    out = _repeats(slim, fill, "s")
-    return out.select(F.col("i").alias(id_col), F.col("s").alias("source"), "repeats", copies(F.col("repeats"), F.col("i"), seed).alias("copies"))
+    out = _repeats(roles(docs, i=id_col, s=source_col), fill, F.col("s"))
+    return out.select(F.col("i").alias(id_col), _source(F.col("s")).alias("source"), F.col("_repeats").alias("repeats"), copies(F.col("_repeats"), F.col("i"), seed).alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1.0, max_epochs: float = MAX_EPOCHS, budget_ratio: float = 1.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: every row as often as drawn, all columns as they are. No shuffle of documents."""
-    out = _repeats(docs, water_fill(docs, weights, default_weight, max_epochs, budget_ratio, text_col, source_col), source_col)
-    n = copies(F.col(out.columns[-1]), F.col(id_col), seed)
-    repeated = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), n.cast("int"))).alias(out.columns[-1]))
-    return repeated.drop(out.columns[-1])
+    plain, find = shielded(docs)
+    out = _repeats(plain, water_fill(docs, weights, default_weight, max_epochs, budget_ratio, text_col, source_col), find(source_col))
+    n = copies(F.col("_repeats"), find(id_col), seed)
+    return out.select(*plain.columns, F.explode(F.array_repeat(F.lit(1), n.cast("int"))).alias("_n")).drop("_n").toDF(*docs.columns)
 
 
 def sql(weights: Mapping[str, float], default_weight: float = 1.0, max_epochs: float = MAX_EPOCHS, budget_ratio: float = 1.0, seed: int = SEED) -> str:

@@ -7,7 +7,8 @@ labelled with it. A document's distance to a language is the sum, over the n-gra
 language's profile, ``size`` if it isn't there; the nearest language wins, the alphabetically first of equals.
 
 Defined cases: null text and text without letters have no n-grams: language and distance null, n_grams 0. Documents without a label (null) train
-nothing and are identified like all. Without any label every language is null. Repeated rows are counted and identified each. No rows: no rows.
+nothing and are identified like all. Without any label every language is null. Very long texts count whole. Repeated rows are counted and
+identified each; ids are only carried. Further columns may have any names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spans, text_bytes
+from .common import roles, spans, text_bytes
 from .repetition import code_points
 
 SIZE = 300
@@ -134,7 +135,7 @@ def profiles(docs: DataFrame, size: int = SIZE, text_col: str = "text", lang_col
             g, n = _added(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["lang", "g", "n"])
 
-    labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t")).where("lang is not null and t is not null")
+    labelled = roles(docs, lang=lang_col, t=text_col).select(F.col("lang").cast("string"), F.col("t").cast("string")).where("lang is not null and t is not null")
     counts = labelled.mapInArrow(count, "lang string, g bigint, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang").orderBy(F.desc("n"), "g")
     return counts.select("lang", "g", (F.row_number().over(by) - 1).alias("rank")).where(F.col("rank") < size)
@@ -181,9 +182,9 @@ def identify(docs: DataFrame, profile: DataFrame, size: int = SIZE, id_col: str
             none = best == len(languages)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best], pa.string()), pa.array(distance, mask=none), pa.array(number)], names=["i", "language", "distance", "n_grams"])
 
-    source = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    source = roles(docs, i=id_col, t=text_col).select("i", F.col("t").cast("string"))
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"i {kind}, language string, distance bigint, n_grams bigint").withColumnRenamed("i", id_col)
+    return source.mapInArrow(run, f"i {kind}, language string, distance bigint, n_grams bigint").toDF(id_col, "language", "distance", "n_grams")
 
 
 def identified(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -5,7 +5,9 @@ document. The suffixes that share such a prefix form the longest-common-prefix i
 array; the spans of all their maximal repeated substrings are united.
 
 Every document gets a row. Null text: null figures, not kept. Empty text and text shorter than ``min_length``: no
-repeat, kept. Repeated rows are judged alike; ids aren't looked at, so null and repeated ids are allowed.
+repeat, kept. A very long text is judged whole, with arrays of its own (some 60 bytes a code point). Repeats of equal
+length are all covered, so ties need no order. Repeated rows are judged alike; ids aren't looked at, so null and
+repeated ids are allowed. Further columns may have any names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, spans, text_bytes
+from .common import U64, roles, shielded, spans, text_bytes
 
 MIN_LENGTH, MAX_FRACTION, MAX_REPEAT = 60, 0.25, 400
 #: Code points a work array may hold; a longer document has arrays of its own.
@@ -162,9 +164,10 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), *_judge(b.column(1), min_length, max_fraction, max_repeat)], names=names)
 
-    names = [id_col, *(x.split()[0] for x in SCHEMA.split(", "))]
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, {SCHEMA}")
+    names = ["i", *(x.split()[0] for x in SCHEMA.split(", "))]
+    source = roles(docs, i=id_col, t=text_col).select("i", F.col("t").cast("string"))
+    out = source.mapInArrow(run, f"i {source.schema[0].dataType.simpleString()}, {SCHEMA}")
+    return out.toDF(id_col, *out.columns[1:])
 
 
 def keep_unrepetitive(docs: DataFrame, text_col: str = "text", min_length: int = MIN_LENGTH, max_fraction: float = MAX_FRACTION, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -174,4 +177,5 @@ def keep_unrepetitive(docs: DataFrame, text_col: str = "text", min_length: int =
     def passes(text: pa.Array) -> pa.Array:
         return _judge(text, min_length, max_fraction, max_repeat)[-1]
 
-    return docs.where(passes(F.col(text_col).cast("string")))
+    plain, find = shielded(docs)
+    return plain.where(passes(find(text_col).cast("string"))).toDF(*docs.columns)
