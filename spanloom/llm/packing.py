@@ -12,8 +12,9 @@ Bins are local to a group. A document's group comes from a hash of its id, and t
 total of tokens, so the result depends on the rows alone, not on partitions; each group holds ``GROUP_TOKENS`` tokens
 on average, so that its last, half-empty bins weigh little.
 
-Defined cases: null text and text without tokens give no piece and don't appear. Null ids are packed like others; repeated rows are
-pieces of their own. Equal scores: the oldest bin. No rows: no rows.
+Defined cases: null text and text without tokens give no piece and don't appear. A very long text is split into as many
+pieces as it needs. Null ids are packed like others; repeated rows are pieces of their own. Pieces of equal length come
+in order of id and piece; equal scores: the oldest bin. Further columns may have any names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -21,14 +22,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import roles, written
+
 TOKENS, DOCUMENTS, GROUP_TOKENS = 2048, 16, 1_000_000
 #: Of the largest possible attention cost TOKENS squared. Below 1, so that it binds; at 1 it follows from the tokens.
 ATTENTION = 0.5
 WEIGHTS = (1.0, 0.25, 0.5)
+#: Repetitions of a row (same id, same number of tokens) that stay together.
+LOT = 64
 
 
 def token_count(text: Column) -> Column:
@@ -69,33 +75,40 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
 
 
 def packed(docs: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, attention: float = ATTENTION, weights: tuple[float, float, float] = WEIGHTS, rule: str = "dot", group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: pack_group, bin, slot (its place in the bin), id, piece, start_token, n_tokens. Only ids and lengths are shuffled."""
+    """A row for each piece: pack_group, bin, slot (its place in the bin), id, piece, start_token, n_tokens. Only ids and lengths are shuffled; texts are read once."""
     if rule not in ("dot", "norm"):
         raise ValueError(f"unknown rule {rule!r}")
     capacity = (int(tokens), int(documents), int(tokens * tokens * min(1.0, attention)))
     longest = min(capacity[0], math.isqrt(capacity[2]))
-    sized = docs.select(F.col(id_col).alias("i"), token_count(F.col(text_col).cast("string")).cast("bigint").alias("t")).where("t > 0")
+    # tokens are counted once: their sum sets the number of groups before the rows are dealt out
+    sized = written(roles(docs, i=id_col, t=text_col).select("i", token_count(F.col("t").cast("string")).cast("bigint").alias("t")), "token-counts").where("t > 0")
     total = sized.agg(F.sum("t")).first()[0] or 0
     groups = max(1, math.ceil(total / group_tokens))
     kind = sized.schema["i"].dataType.simpleString()
-    hashed = F.pmod(F.xxhash64("i", "t"), F.lit(groups)).cast("int")
-    pieces = sized.select("i", "t", hashed.alias("g"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = pdf["t"].to_numpy(np.int64)
+    # rows that repeat are counted first and dealt out in small lots, so that no group can hold all of them
+    alike = sized.groupBy("i", "t").agg(F.count(F.lit(1)).alias("n"))
+    lots = alike.select("i", "t", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / LOT))).alias("k"))
+    hashed = F.pmod(F.xxhash64("i", "t", "k"), F.lit(groups)).cast("int")
+    pieces = lots.select("i", "t", F.least(F.lit(LOT).cast("bigint"), F.col("n") - F.col("k") * LOT).alias("m"), hashed.alias("g"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        copies = np.repeat(np.arange(table.num_rows), np.asarray(table["m"]))
+        whole = np.asarray(table["t"]).astype(np.int64)[copies]
         count = -(-whole // longest)
-        row = np.repeat(np.arange(len(pdf)), count)
+        row = np.repeat(np.arange(len(whole)), count)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         length = np.minimum(longest, whole[row] - piece * longest)
-        ids = pdf["i"]
-        place = ids.rank(method="dense", na_option="top").to_numpy()[row]
-        turn = np.lexsort((piece, place, -length))
+        ids = table["i"].combine_chunks()
+        place = np.asarray(pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense")).astype(np.int64)[copies[row]]
+        turn = np.lexsort((row, piece, place, -length))
         bins = best_fit(length[turn], capacity, weights, rule)
         slot = np.zeros(len(turn), np.int64)
         by = np.argsort(bins, kind="stable")
         size = np.bincount(bins)
         slot[by] = np.arange(len(by)) - np.repeat(np.cumsum(size) - size, size)
-        return pd.DataFrame({"pack_group": pdf["g"].iloc[0], "bin": bins, "slot": slot, "i": ids.iloc[row[turn]].to_numpy(), "piece": piece[turn], "start_token": piece[turn] * longest, "n_tokens": length[turn]})
+        group = np.full(len(turn), np.asarray(table["g"])[0], np.int32)
+        columns = {"pack_group": group, "bin": bins, "slot": slot, "i": ids.take(pa.array(copies[row[turn]])), "piece": piece[turn], "start_token": piece[turn] * longest, "n_tokens": length[turn]}
+        return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
-    out = pieces.groupBy("g").applyInPandas(pack, f"pack_group int, bin bigint, slot bigint, i {kind}, piece bigint, start_token bigint, n_tokens bigint")
-    return out.withColumnRenamed("i", id_col)
+    out = pieces.groupBy("g").applyInArrow(pack, f"pack_group int, bin bigint, slot bigint, i {kind}, piece bigint, start_token bigint, n_tokens bigint")
+    return out.toDF(*[id_col if c == "i" else c for c in out.columns])
