@@ -4,12 +4,16 @@ Heuristic labellers each vote good (1), bad (0) or abstain (-1) on every documen
 patterns, at most 3 ** len(LABELLERS) rows whatever the corpus, carry all that expectation-maximisation needs: it
 estimates the class prior and each labeller's accuracy in each class. The posterior of a document's pattern is its
 label, by which a linear scorer over hashed features is trained with logistic loss. Votes are counted over the whole
-corpus; the scorer is fitted on a sample of at most about ``train_docs`` documents, chosen by a hash of id and text (the
-one bounded sample here). The score of every document is the scorer's probability of good; ``threshold`` and above stays.
-
-Defined cases: null or wordless text has no features, score null, and isn't kept. A corpus whose labellers never disagree,
-or without any vote, gives the scorer one class only: all documents with words then get the same side. Repeated rows
-get equal scores. Ids and texts pick the sample together, so null and repeated ids are allowed. No rows: no rows.
+corpus; the scorer is fitted on a sample of at most ``train_docs`` documents, the first in order of a hash of id and text
+among distinct ones (the one bounded sample here). The score of every document is the scorer's probability of good;
+``threshold`` and above stays.
+
+Defined cases: null or wordless text has no features, score null, and isn't kept. A very long text is voted on and scored
+whole. A corpus whose labellers never disagree, or without any vote, gives the scorer one class only: all documents with
+words then get the same side. Repeated rows get equal scores; each votes, but rows of the same id and text train once, so
+however many there are the sample keeps its bound. Ids and texts pick the sample together, so null and repeated ids are
+allowed; equal hashes have equal id and text. A score of exactly ``threshold`` stays. Further columns may have any names.
+No rows: no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, spans, sums, text_bytes, unit_hash, words
+from .common import U64, mix, roles, shielded, spans, sums, text_bytes, words
 
 BUCKETS, TRAIN_DOCS, THRESHOLD, SEED = 1 << 16, 4000, 0.4, 29
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: name, statistic, good side, bad side: a value up to ``good`` votes 1, one from ``bad`` on votes 0 (the other way round if good > bad), between them none.
 #: Without a good side a labeller only accuses: what it knows of one kind of junk says nothing for documents without it.
 LABELLERS = (
@@ -205,7 +209,7 @@ def fit_scorer(index: np.ndarray, share: np.ndarray, at: np.ndarray, target: np.
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    return roles(docs, i=id_col, t=text_col).select("i", F.col("t").cast("string"))
 
 
 def _chunks(column: pa.Array):
@@ -228,8 +232,19 @@ def vote_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _source(docs, id_col, text_col).select("t").mapInArrow(run, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
+def training_sample(docs: DataFrame, train_docs: int, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(u, t): distinct documents with text by a hash u of id and text, some more than the ``train_docs`` least of u (all, if there are no more). Of a row that repeats one counts."""
+    source = _source(docs, id_col, text_col).where("t is not null").select("i", "t", F.xxhash64(F.lit(seed), "i", "t").alias("u"))
+    distinct = source.agg(F.approx_count_distinct("u", 0.02)).first()[0]
+    # the estimate of distinct rows errs by some per cent
+    share = min(1.0, 1.3 * train_docs / max(distinct, 1))
+    if share < 1.0:
+        source = source.where(F.col("u") < F.lit(int(share * 2**64) - 2**63))
+    return source.groupBy("u").agg(F.min("t").alias("t"))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, seed: int = SEED) -> tuple[LabelModel, Scorer]:
-    """Both models. Two passes: votes of all documents, then features of the sample."""
+    """Both models. Votes of all documents are counted, then a sample of them is made into features."""
     table = vote_patterns(docs, id_col, text_col).collect()
     codes = np.array(sorted(r["pattern"] for r in table), np.int64)
     counts = {r["pattern"]: r["n"] for r in table}
@@ -237,24 +252,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     n = np.array([counts[c] for c in codes.tolist()], np.int64)
     heard = (patterns >= 0).any(1) if len(codes) else np.zeros(0, bool)
     model = fit_labels(patterns[heard], n[heard])
-    total = int(n.sum())
-
     def run(batches):
         for b in batches:
             rows: list[tuple] = []
-            for lo, _, data, off in _chunks(b.column(0)):
+            u = np.asarray(b.column(0))
+            for lo, _, data, off in _chunks(b.column(1)):
                 v = votes(*statistics(data, off))
                 post = model.posterior(v)
                 bucket, room = features(data, off)
                 for k in np.flatnonzero((v >= 0).any(1)).tolist():
                     value, many = np.unique(bucket[room[k] : room[k + 1]], return_counts=True)
-                    rows.append((value.astype(np.int32), (many / many.sum()).astype(np.float32), post[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32())), pa.array([float(r[2]) for r in rows], pa.float64())], names=["index", "share", "target"])
+                    rows.append((value.astype(np.int32), (many / many.sum()).astype(np.float32), post[k], u[lo + k]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32())), pa.array([float(r[2]) for r in rows], pa.float64()), pa.array([int(r[3]) for r in rows], pa.int64())], names=["index", "share", "target", "u"])
 
-    sample = _source(docs, id_col, text_col)
-    if total > train_docs:
-        sample = sample.where(unit_hash(seed, F.concat_ws("|", F.col("i").cast("string"), "t")) < F.lit(train_docs / total))
-    got = sample.select("t").mapInArrow(run, "index array<int>, share array<float>, target double").toArrow()
+    got = training_sample(docs, train_docs, seed, id_col, text_col).mapInArrow(run, "index array<int>, share array<float>, target double, u bigint").toArrow()
+    got = got.take(np.argsort(np.asarray(got["u"]), kind="stable")[:train_docs])
     lists = got["index"].combine_chunks()
     index = np.asarray(lists.flatten()).astype(np.int64)
     at = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64))))
@@ -283,7 +295,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, mask=~has), pa.array(has & (score >= threshold))], names=["i", "score", "keep"])
 
     source = _source(docs, id_col, text_col)
-    return source.mapInArrow(run, f"i {source.schema[0].dataType.simpleString()}, score double, keep boolean").withColumnRenamed("i", id_col)
+    return source.mapInArrow(run, f"i {source.schema[0].dataType.simpleString()}, score double, keep boolean").toDF(id_col, "score", "keep")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, train_docs: int = TRAIN_DOCS, seed: int = SEED) -> DataFrame:
@@ -296,4 +308,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         score, has = _scores(text, held.value)
         return pa.array(has & (score >= threshold))
 
-    return docs.where(good(F.col(text_col).cast("string")))
+    plain, find = shielded(docs)
+    return plain.where(good(find(text_col).cast("string"))).toDF(*docs.columns)
