@@ -36,7 +36,7 @@ def op5_warc_round_trip(spark, sf_dir):
 
 
 def op6_tiered_compaction(spark, sf_dir):
-    return shards.stored(_table(spark, sf_dir, "documents"))
+    return shards.stored_with_state(_table(spark, sf_dir, "documents"))
 
 
 def op7_rank_order_language(spark, sf_dir):
@@ -58,8 +58,8 @@ def op10_weak_label_quality(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_suffix_tree_lm, op2_source_mixing, op3_suffix_array_repetition, op4_simhash_near_dedup, op5_warc_round_trip, op6_tiered_compaction, op7_rank_order_language, op8_voronoi_knn, op9_vector_best_fit, op10_weak_label_quality)}
 SQL = {
     "op2_source_mixing": mixing.sql(WEIGHTS),
-    "op5_warc_round_trip": "SELECT page_id, url, html, CAST(strlen(html) AS BIGINT) AS content_length, 'ok' AS digest, 'ok' AS status FROM pages",
-    "op6_tiered_compaction": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "op5_warc_round_trip": warc.sql(),
+    "op6_tiered_compaction": "SELECT doc_id, text, lang, source, n_chars, (SELECT count(*) FROM documents) AS manifest_rows, true AS within_target, true AS settled FROM documents",
     "op7_rank_order_language": rank_profiles.sql(),
     "op8_voronoi_knn": voronoi_knn.sql(),
 }

@@ -7,8 +7,10 @@ writes its new files first and then commits a manifest of the next version, crea
 writer that lost the race fails before anything visible has changed. Readers take the newest manifest, or any version that is kept.
 
 Defined cases: an arrival without rows commits a version without new shards. A store without shards reads as no rows of
-its schema. Rows are kept as they come, repeated or null. An arrival whose columns or types differ from the store's is refused.
-Any column names are allowed.
+its schema. Rows are kept as they come, repeated, null, empty or very long (a row group is merged at a time, so memory
+follows the longest rows of one); of all types that Parquet and Arrow share, timestamps with and without zone included.
+Shards of equal size are merged in order of path. An arrival whose columns or types differ from the store's is refused.
+Any column names are allowed that Spark can write as Parquet (it refuses names that differ in case alone).
 """
 
 from __future__ import annotations
@@ -16,11 +18,14 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import scratch_path
@@ -69,6 +74,18 @@ def plan(shards: list[Shard], target: int) -> list[list[Shard]]:
     return runs
 
 
+@contextmanager
+def _micros(spark: SparkSession) -> Iterator[None]:
+    """Timestamps are written as microseconds in UTC: Arrow keeps their zone when it merges, which it can't know of the older 96-bit form."""
+    key = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -105,7 +122,8 @@ class ShardStore:
         if base["schema"] is not None and json.loads(base["schema"]) != json.loads(schema):
             raise ValueError("the arrival's columns differ from the store's")
         name = f"data/arrival-{uuid.uuid4().hex}"
-        rows.write.option("maxRecordsPerFile", shard_rows).option("compression", "zstd").parquet(f"{self.root}/{name}")
+        with _micros(self.spark):
+            rows.write.option("maxRecordsPerFile", shard_rows).option("compression", "zstd").parquet(f"{self.root}/{name}")
         new = self._measured([(f"{name}/{p}", size) for p, size in listed(f"{self.root}/{name}", ".parquet")])
         return self._commit(base, schema, base["shards"] + [s for s in new if s.rows])
 
@@ -124,8 +142,8 @@ class ShardStore:
         df = self.spark.createDataFrame(files, "path string, size bigint").repartition(min(len(files), 64))
         return [Shard(r["path"], r["n_rows"], r["n_bytes"]) for r in df.mapInArrow(run, "path string, n_rows bigint, n_bytes bigint").collect()]
 
-    def compact(self, target: int = TARGET_BYTES, keep_versions: int = 2, most_rounds: int = 50) -> int:
-        """Merges until no tier has a run to merge; the version it ends with. Files of no kept version are deleted."""
+    def compact(self, target: int = TARGET_BYTES, keep_versions: int = 2) -> int:
+        """Merges until no tier has a run to merge (each round leaves fewer shards, so it ends); the version it ends with. Files of no kept version are deleted."""
         root = self.root
 
         def merge(batches):
@@ -157,11 +175,11 @@ class ShardStore:
                     system, inside = opened(f"{root}/{name}")
                     yield pa.RecordBatch.from_pydict({"old": [paths], "path": [name], "n_rows": [rows], "n_bytes": [system.get_file_info(inside).size]})
 
-        for _ in range(most_rounds):
+        while True:
             base = self.manifest()
             runs = plan(base["shards"], target)
             if not runs:
-                break
+                return base["version"]
             df = self.spark.createDataFrame([([s.path for s in run],) for run in runs], "paths array<string>").repartition(min(len(runs), 10_000))
             done = df.mapInArrow(merge, "old array<string>, path string, n_rows bigint, n_bytes bigint").collect()
             old = {p for r in done for p in r["old"]}
@@ -170,7 +188,6 @@ class ShardStore:
                 raise RuntimeError("a merge lost rows")
             self._commit(base, base["schema"], [s for s in base["shards"] if s.path not in old] + [Shard(r["path"], r["n_rows"], r["n_bytes"]) for r in done])
             self.vacuum(keep_versions)
-        return self.manifest()["version"]
 
     def vacuum(self, keep_versions: int) -> None:
         """Deletes manifests but the newest, and the data files that only deleted manifests name. Files of no manifest are left: a writer may be at work on them."""
@@ -192,9 +209,21 @@ class ShardStore:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in held["shards"]])
 
 
-def stored(rows: DataFrame, shard_rows: int = SHARD_ROWS, target: int = TARGET_BYTES) -> DataFrame:
-    """The rows through a new store: arrived, compacted and read by its last manifest."""
+def _kept(rows: DataFrame, shard_rows: int, target: int) -> ShardStore:
     store = ShardStore(rows.sparkSession, scratch_path(rows.sparkSession, "shards"))
     store.append(rows, shard_rows)
     store.compact(target, keep_versions=1)
-    return store.read()
+    return store
+
+
+def stored(rows: DataFrame, shard_rows: int = SHARD_ROWS, target: int = TARGET_BYTES) -> DataFrame:
+    """The rows through a new store: arrived, compacted and read by its last manifest."""
+    return _kept(rows, shard_rows, target).read()
+
+
+def stored_with_state(rows: DataFrame, shard_rows: int = SHARD_ROWS, target: int = TARGET_BYTES) -> DataFrame:
+    """``stored``, and beside each row what holds of its store: the rows that its manifest counts, whether all its shards keep to the target, and whether no tier has a run left to merge."""
+    store = _kept(rows, shard_rows, target)
+    shards = store.manifest()["shards"]
+    largest = max((s.bytes for s in shards if "/merged-" in s.path), default=0)
+    return store.read().select("*", F.lit(sum(s.rows for s in shards)).cast("bigint").alias("manifest_rows"), F.lit(largest <= target * 5 // 4).alias("within_target"), F.lit(not plan(shards, target)).alias("settled"))
