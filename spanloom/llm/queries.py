@@ -44,7 +44,8 @@ def op7_rank_order_language(spark, sf_dir):
 
 
 def op8_voronoi_knn(spark, sf_dir):
-    return voronoi_knn.neighbours(_table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 9))
+    """Of every vector whose id is divisible by 100 the neighbours among all."""
+    return voronoi_knn.neighbours(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 100 == 0).withColumn("distance", F.round("distance", 9))
 
 
 def op9_vector_best_fit(spark, sf_dir):
