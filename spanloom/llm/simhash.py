@@ -1,45 +1,76 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 A document's 128-bit SimHash sums, over its distinct-by-place word bigrams (lower case, punctuation apart), a +1 or -1
-for each hash bit. Documents with the same hash are copies. Different hashes meet in ``TABLES`` tables, each keyed by
-``KEY_BITS`` of the bits; those that share a key are compared: 64 hashes stand in a block as 128 vertical bit planes,
-one hash is compared with all 64 at once, the 64 distances grow in carry-save counters (ones, twos, fours, ...), and
-a comparison ends early once all 64 exceed the radius. There is no limit on bucket sizes or partners. Pairs within the
-radius make groups by connected components, and each group keeps its smallest id.
-
-A pair at distance d shares a table's key with probability (1 - d/128) ** KEY_BITS; with the values here 0.99 of the
-pairs at distance 20 and 0.90 of those at 24 meet in one table at least (``meeting_rate``), and groups join through
-any of their pairs. A bucket holds about N / 2 ** KEY_BITS hashes, so beyond some 10**8 documents KEY_BITS should grow
-with log2(N), and TABLES by ``tables_for``.
+for each hash bit. Documents with the same hash are copies. Which different hashes are compared follows from content:
+a one-permutation min-hash of the word trigrams has ``BANDS`` x ``ROWS`` bins, ``ROWS`` of them make a 64-bit key, and
+documents that share any of their ``BANDS`` keys meet in its bucket. There 64 hashes stand in a block as 128 vertical bit
+planes, one hash is compared with all 64 at once, the 64 distances grow in carry-save counters (ones, twos, fours, ...),
+and a comparison ends early once all 64 exceed the radius. Pairs within the radius make groups by connected components,
+and each group keeps its smallest id.
+
+Keys are as long at any size of the corpus, so their number is fixed and buckets hold what shares content, not a share of
+all rows. A pair of trigram similarity J meets with probability 1 - (1 - J ** ROWS) ** BANDS (``meeting_rate``): 0.9997 at
+0.6, 0.99 at 0.5, 0.88 at 0.4; of the pairs within the radius on sf0.1, 0.998 meet, and 0.99 of those at distance 25 to 28.
+There is no limit on bucket sizes or partners: a bucket of more than ``BUCKET`` hashes is cut into parts, and every two
+parts meet in a task of their own.
 
 Defined cases: null text and text without words have no hash and form no group: they stay. A document of one word is
-that word's hash. Null ids sort last, so a group keeps one only if it has no other. Repeated rows are copies of each
-other: one row stays. No rows: no rows.
+that word's hash; one or two words are one trigram. A very long text is hashed whole, with arrays of its own. Null ids
+sort last, so a group keeps one only if it has no other; of equal ids the one with the lesser content hash stays.
+Repeated rows are copies of each other: one row stays. Further columns may have any names. No rows: no rows.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, spans, text_bytes, words, written
+from .common import U64, cut, discard, mix, roles, shielded, spans, text_bytes, words, written
 
-RADIUS, KEY_BITS, TABLES, SEED = 28, 16, 64, 7
+RADIUS, BANDS, ROWS = 28, 32, 3
 LANES, PLANES = 64, 128
 CHUNK = 1_000_000
-#: Rows to drop up to which their keys, some 100 bytes each, go to all executors; beyond it texts are shuffled once to meet them.
-BROADCAST_DROPS = 1_000_000
-
-
-def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """High and low halves of each text's hash, and whether it has one."""
+#: Hashes that meet in one task; keys of more are known from a sample and cut into parts, the ``HEAVY`` largest at most (others are merely slow).
+BUCKET, HEAVY = 1 << 16, 1_000_000
+
+
+def band_keys(h: np.ndarray, at: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """The keys of documents with words, a row each: min-hashes of word trigrams in bins, an empty bin filled from the next one that isn't."""
+    bins, n = bands * rows, len(at) - 1
+    count = np.diff(at)
+    tri = h * U64(0x9E3779B97F4A7C15)
+    tri[:-1] += h[1:] * U64(0xC2B2AE3D27D4EB4F)
+    tri[:-2] += h[2:] * U64(0x165667B19E3779F9)
+    place = np.arange(len(h)) - np.repeat(at[:-1], count)
+    short = np.repeat(count < 3, count)
+    tri[short] = h[short]
+    own = (place < np.repeat(np.maximum(count - 2, 1), count))
+    value = mix(tri[own])
+    slot = np.repeat(np.arange(n), count)[own].astype(U64) * U64(bins) + value % U64(bins)
+    packed = np.sort(slot << U64(43) | value >> U64(21))  # a document's number has 12 bits (see ``spans``), a bin's at most 9
+    first = np.ones(len(packed), bool)
+    first[1:] = packed[1:] >> U64(43) != packed[:-1] >> U64(43)
+    least, full = np.zeros(n * bins, U64), np.zeros(n * bins, bool)
+    where = (packed[first] >> U64(43)).astype(np.int64)
+    least[where], full[where] = packed[first] & U64((1 << 43) - 1), True
+    least, full = least.reshape(n, bins), full.reshape(n, bins)
+    ahead = np.where(np.concatenate((full, full), axis=1), np.arange(2 * bins)[None], 2 * bins)
+    ahead = np.minimum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    took = mix(np.take_along_axis(least, ahead % bins, axis=1) + (ahead - np.arange(bins)).astype(U64) * U64(0x9E3779B97F4A7C15)).reshape(n, bands, rows)
+    key = np.arange(1, bands + 1).astype(U64)[None].repeat(n, 0)
+    for j in range(rows):
+        key = mix(key * U64(0x9E3779B97F4A7C15) + took[:, :, j])
+    return key
+
+
+def fingerprints(text: pa.Array, keys: bool = False) -> tuple[np.ndarray, ...]:
+    """High and low halves of each text's hash, and whether it has one; with ``keys`` also its band keys."""
     data, off = text_bytes(text, lower=True)
     n = len(off) - 1
     high, low, has = np.zeros(n, U64), np.zeros(n, U64), np.zeros(n, bool)
+    key = np.zeros((n, BANDS if keys else 0), U64)
     for lo, hi in spans(off, CHUNK):
         h, _, _, at = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         count = np.diff(at)
@@ -63,7 +94,9 @@ def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 made |= (2 * ones > number).astype(U64) << U64(bit)
             out[lo + some] = made
         has[lo + some] = True
-    return high, low, has
+        if keys:
+            key[lo + some] = band_keys(h, np.append(at[some], len(h)))
+    return (high, low, has, key) if keys else (high, low, has)
 
 
 def _full(a, b, c):
@@ -195,26 +228,57 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _masks(tables: int, bits: int, seed: int) -> list[tuple[int, int]]:
-    """The bits that each table's key holds: runs of seeded permutations, so that every bit serves about as often."""
-    rng = np.random.default_rng(seed)
-    out: list[tuple[int, int]] = []
-    while len(out) < tables:
-        order = rng.permutation(PLANES)
-        for k in range(PLANES // bits):
-            value = sum(1 << int(p) for p in order[k * bits : (k + 1) * bits])
-            out.append(tuple(x - (1 << 64) if x >> 63 else x for x in (value >> 64, value & (1 << 64) - 1)))
-    return out[:tables]
+def heavy_keys(hashes: DataFrame, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order that more than ``bucket`` hashes are likely to share, and the number of parts for each: from a sample in which such a key has some 1024 rows."""
+    one_in = max(1, bucket // 1024)
+    sample = hashes.where(F.pmod(F.xxhash64("h", "l"), F.lit(one_in)) == 0).select("h", "l", F.explode("k").alias("key")).distinct()
+    most = bucket // one_in
+    found = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).orderBy(F.desc("n"), "key").limit(HEAVY).toArrow()
+    key, n = np.asarray(found["key"]), np.asarray(found["n"])
+    turn = np.argsort(key)
+    return key[turn], -(-n[turn] // most)
+
 
+def _edges(hashes: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """Pairs (a, b) of hash structs, a < b, enough of them to connect all hashes that meet within the radius. hashes: h, l, t and the array k of keys."""
+    heavy = hashes.sparkSession.sparkContext.broadcast(heavy_keys(hashes, bucket))  # at most HEAVY keys
 
-def _edges(hashes: DataFrame, radius: int, key_bits: int, tables: int, seed: int) -> DataFrame:
-    """Pairs (a, b) of hash structs, a < b, enough of them to connect all hashes that meet within the radius."""
-    masks = F.array(*[F.struct(F.lit(k).cast("smallint").alias("k"), F.lit(h).cast("bigint").alias("h"), F.lit(m).cast("bigint").alias("l")) for k, (h, m) in enumerate(_masks(tables, key_bits, seed))])
-    keyed = hashes.select("h", "l", F.explode(masks).alias("m")).select("h", "l", F.col("m.k").alias("k"), F.col("h").bitwiseAND(F.col("m.h")).alias("kh"), F.col("l").bitwiseAND(F.col("m.l")).alias("kl"))
-    keyed = keyed.select("h", "l", F.xxhash64("k", "kh", "kl").alias("key"))  # equal keys of different tables only cost a comparison
-    placed = keyed.repartition(F.col("key")).sortWithinPartitions("key")
+    def keyed(batches):
+        known, parts = heavy.value
+        seen = np.zeros(0, np.int64)
+        for b in batches:
+            text = np.asarray(b.column(2))
+            _, first = np.unique(text, return_index=True)
+            first = np.sort(first[~np.isin(text[first], seen)])  # a task sends copies of a text once
+            if not len(first):
+                continue
+            seen = np.concatenate((seen, text[first])) if len(seen) < 200_000 else text[first]
+            b = b.take(pa.array(first))
+            key = np.asarray(b.column(3).flatten())
+            row = np.repeat(np.arange(len(first)), BANDS)
+            h, low = np.asarray(b.column(0))[row], np.asarray(b.column(1))[row]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                hot = np.flatnonzero(known[at] == key)
+                p = parts[at[hot]]
+                mine = (mix(h[hot].view(U64) ^ mix(low[hot].view(U64))) % p.astype(U64)).astype(np.int64)
+                again = np.repeat(hot, p)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(p) - p, p)
+                mine = np.repeat(mine, p)
+                pair = (np.minimum(mine, other) << 32 | np.maximum(mine, other)).astype(U64)
+                cold = np.ones(len(key), bool)
+                cold[hot] = False
+                key = np.concatenate((key[cold], mix(key[again].view(U64) ^ mix(pair + U64(1))).view(np.int64)))
+                h, low = np.concatenate((h[cold], h[again])), np.concatenate((low[cold], low[again]))
+            for lo in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (h, low, key)], names=["h", "l", "key"])
 
     def flush(high, low, key):
+        turn = np.lexsort((low, high, key))
+        high, low, key = high[turn], low[turn], key[turn]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        high, low, key = high[new], low[new], key[new]
         a, b = close_pairs(high, low, key, radius)
         if not len(a):
             return None
@@ -242,6 +306,7 @@ def _edges(hashes: DataFrame, radius: int, key_bits: int, tables: int, seed: int
             if (out := flush(h.view(U64), low.view(U64), key)) is not None:
                 yield out
 
+    placed = hashes.select("h", "l", "t", "k").mapInArrow(keyed, "h bigint, l bigint, key bigint").repartition(F.col("key")).sortWithinPartitions("key")
     pairs = placed.mapInArrow(run, "ah bigint, al bigint, bh bigint, bl bigint")
     x, y = F.struct(F.col("ah").alias("h"), F.col("al").alias("l")), F.struct(F.col("bh").alias("h"), F.col("bl").alias("l"))
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
@@ -270,72 +335,68 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(i, t, h, l): id, content hash and SimHash; h is null without words."""
+    """(r, i, t, h, l, k): a number for the row, id, content hash, SimHash and band keys; h is null without words."""
 
     def run(batches):
         for b in batches:
-            high, low, has = fingerprints(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(high.view(np.int64), mask=~has), pa.array(low.view(np.int64), mask=~has)], names=["i", "t", "h", "l"])
+            high, low, has, key = fingerprints(b.column(3), keys=True)
+            off = np.concatenate(([0], np.cumsum(has * BANDS))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(key[has].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in range(3)], pa.array(high.view(np.int64), mask=~has), pa.array(low.view(np.int64), mask=~has), lists], names=["r", "i", "t", "h", "l", "k"])
+
+    source = roles(docs, i=id_col, x=text_col).select(F.monotonically_increasing_id().alias("r"), "i", F.xxhash64(F.col("x").cast("string")).alias("t"), F.col("x").cast("string"))
+    return source.mapInArrow(run, f"r bigint, i {source.schema['i'].dataType.simpleString()}, t bigint, h bigint, l bigint, k array<bigint>")
 
-    text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("t"), text.alias("x"))
-    return source.mapInArrow(run, f"i {source.schema[0].dataType.simpleString()}, t bigint, h bigint, l bigint")
 
+def _decided(docs: DataFrame, radius: int, bucket: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(i, t, stays, g, n, hashed): id, content, whether the row stays, its group's first id and size, and whether it has a hash; and the written table that this reads.
 
-def _decided(docs: DataFrame, radius: int, key_bits: int, tables: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(i, t, place, g, n, hashed): id, content, place in the group (1 stays), the group's first id, its size, and whether it has a hash."""
+    Copies of a text are counted by hash before anything is joined, so a group of any size is never in one task; the
+    last join has one row a hash on its other side, and is split where a hash is frequent.
+    """
     table = written(_hashed(docs, id_col, text_col), "simhash")
-    hashes = table.where("h is not null").select("h", "l").distinct()
-    found = components(_edges(hashes, radius, key_bits, tables, seed))
+    hashed = table.where("h is not null")
+    found = components(_edges(hashed, radius, bucket))
     roots = found.select(F.col("v.h").alias("h"), F.col("v.l").alias("l"), F.col("root.h").alias("rh"), F.col("root.l").alias("rl"))
-    joined = table.where("h is not null").join(roots, ["h", "l"], "left").select("i", "t", F.coalesce("rh", "h").alias("rh"), F.coalesce("rl", "l").alias("rl"))
-    by = Window.partitionBy("rh", "rl").orderBy(F.col("i").asc_nulls_last(), "t")
-    group = Window.partitionBy("rh", "rl")
-    out = joined.select("i", "t", F.row_number().over(by).alias("place"), F.first("i").over(by).alias("g"), F.count(F.lit(1)).over(group).alias("n"), F.lit(True).alias("hashed"))
-    alone = table.where("h is null").select("i", "t", F.lit(1).alias("place"), F.col("i").alias("g"), F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("hashed"))
-    return out.unionByName(alone)
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, key_bits: int = KEY_BITS, tables: int = TABLES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    first = F.struct(F.col("i").isNull().alias("none"), "i", "t", "r")
+    own = hashed.groupBy("h", "l").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    joined = own.join(roots, ["h", "l"])
+    whole = joined.groupBy("rh", "rl").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    grouped = joined.select("h", "l", "rh", "rl").join(whole, ["rh", "rl"]).select("h", "l", F.col("first").alias("gf"), F.col("n").alias("gn"))
+    facts = own.join(grouped, ["h", "l"], "left").select("h", "l", F.coalesce("gf", "first").alias("f"), F.coalesce("gn", "n").alias("n"))
+    facts = facts.select("h", "l", F.col("f.i").alias("g"), F.col("f.r").alias("w"), "n")
+    out = hashed.select("r", "i", "t", "h", "l").join(facts, ["h", "l"]).select("i", "t", (F.col("r") == F.col("w")).alias("stays"), "g", "n", F.lit(True).alias("hashed"))
+    alone = table.where("h is null").select("i", "t", F.lit(True).alias("stays"), F.col("i").alias("g"), F.lit(1).cast("bigint").alias("n"), F.lit(False).alias("hashed"))
+    return out.unionByName(alone), table
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, group_id (the smallest id of its group), group_size, keep."""
-    out = _decided(docs, radius, key_bits, tables, seed, id_col, text_col)
-    return out.select(F.col("i").alias(id_col), F.col("g").alias("group_id"), F.col("n").alias("group_size"), (F.col("place") == 1).alias("keep"))
+    out, _ = _decided(docs, radius, bucket, id_col, text_col)
+    return out.select(F.col("i").alias(id_col), F.col("g").alias("group_id"), F.col("n").alias("group_size"), F.col("stays").alias("keep"))
 
 
-def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, key_bits: int = KEY_BITS, tables: int = TABLES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, without all but one of each group.
 
-    Rows to drop are known by id and content; up to ``BROADCAST_DROPS`` of them the documents aren't shuffled. Where the row that stays has repetitions (same id and content), those
-    few rows alone are made one by a shuffle.
+    Rows to drop are known by id and content; the documents are shuffled by these once, to meet them in a hash join whose
+    other side has a row for each. Where the row that stays has repetitions (same id and content), those rows are made one,
+    each task's first.
     """
-    out = _decided(docs, radius, key_bits, tables, seed, id_col, text_col)
-    rows = written(out.where("hashed").groupBy("i", "t").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("first > 1 or n > 1"), "simhash-drop")
-
-    def with_key(df: DataFrame) -> tuple[DataFrame, str]:
-        name = "content_key"
-        while name in df.columns:
-            name += "_"
-        return df.withColumn(name, F.xxhash64(F.col(text_col).cast("string"))), name
-
-    keyed, key = with_key(docs)
-    r = rows.withColumnsRenamed({"i": f"{key}i", "t": f"{key}t", "first": f"{key}f", "n": f"{key}n"})
-    if rows.count() <= BROADCAST_DROPS:
-        r = F.broadcast(r)
-    same = keyed[id_col].eqNullSafe(r[f"{key}i"]) & (keyed[key] == r[f"{key}t"])
-    kept = keyed.join(r, same, "left_anti").drop(key)
-    if rows.where("first = 1").limit(1).count():
-        again = keyed.join(r.where(f"`{key}f` = 1"), same, "left_semi")
-        name = f"{key}p"
-        by = Window.partitionBy(F.col(f"`{id_col}`"), F.col(key)).orderBy(F.lit(0))
-        hashed = again.withColumn(name, F.row_number().over(by)).where(F.col(name) == 1)
-        kept = kept.unionByName(hashed.drop(name, key))
-    return kept
-
-
-def meeting_rate(distance: int, key_bits: int = KEY_BITS, tables: int = TABLES) -> float:
-    """The probability that a pair at this distance shares a key, with independent tables."""
-    return 1 - (1 - (1 - distance / PLANES) ** key_bits) ** tables
-
-
-def tables_for(distance: int, rate: float, key_bits: int = KEY_BITS) -> int:
-    return math.ceil(math.log(1 - rate) / math.log(1 - (1 - distance / PLANES) ** key_bits))
+    out, table = _decided(docs, radius, bucket, id_col, text_col)
+    rows = written(out.where("hashed").groupBy("i", "t").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), "simhash-drop")
+    discard(table)
+    plain, find = shielded(docs)
+    keyed = plain.select("*", find(id_col).alias("_i"), F.xxhash64(find(text_col).cast("string")).alias("_t"))
+    listed = rows.select(F.col("i").alias("_ri"), F.col("t").alias("_rt"), "stays").hint("shuffle_hash")
+    same = F.col("_i").eqNullSafe(F.col("_ri")) & (F.col("_t") == F.col("_rt"))
+    kept = keyed.join(listed, same, "left_anti").select(*plain.columns)
+    if rows.where("stays").limit(1).count():
+        again = keyed.join(listed.where("stays"), same, "left_semi").withColumn("_u", F.xxhash64("_i", "_t"))
+        kept = kept.unionByName(again.dropDuplicates(["_u", "_t"]).select(*plain.columns))
+    return kept.toDF(*docs.columns)
+
+
+def meeting_rate(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
+    """The probability that two documents of this trigram similarity share a key."""
+    return 1 - (1 - similarity**rows) ** bands
