@@ -7,8 +7,12 @@ a fold inside the JVM would cost spans times length on long documents.)
 from __future__ import annotations
 
 import difflib
-from bisect import bisect_right
+import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Sequence
 from hashlib import md5
+from itertools import accumulate
 from operator import le
 
 import numpy as np
@@ -139,14 +143,76 @@ def rewritten(docs: DataFrame, values: Column) -> DataFrame:
     return made.select(*[c for c in docs.columns if c not in ("text", "gold")], F.col("_made.text").alias("text"), F.col("_made.spans").alias("gold"))
 
 
-def map_spans(old, new, marked):
+_TOKEN = re.compile(r"\w+|\W")
+#: Tokens that an anchor has; characters of both sides of a gap, multiplied, beyond which it is aligned by tokens.
+ANCHOR, GAP = 6, 4_000_000
+
+
+def plain_alignment(old: Sequence, new: Sequence) -> list[tuple[str, int, int, int, int]]:
+    """Operations (kind, from, to in old, from, to in new) that make one text of the other. Superlinear in their lengths."""
+    return difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
+
+
+def _common_runs(old: list[str], new: list[str]) -> list[tuple[int, int, int]]:
+    """(position in old, in new, number) of runs of tokens that stand once in either, in an order that both share: the longest such chain of them."""
+
+    def once(tokens: list[str]) -> dict[tuple, int]:
+        keys = list(zip(*(tokens[k:] for k in range(ANCHOR))))
+        seen = Counter(keys)
+        return {key: at for at, key in enumerate(keys) if seen[key] == 1}
+
+    there = once(new)
+    pairs = [(i, there[key]) for key, i in once(old).items() if key in there]
+    tails, ends, before = [], [], [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):  # longest increasing chain of places in new
+        at = bisect_left(tails, j)
+        tails[at : at + 1], ends[at : at + 1] = [j], [k]
+        before[k] = ends[at - 1] if at else -1
+    chain, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        chain.append(pairs[k])
+        k = before[k]
+    out: list[tuple[int, int, int]] = []
+    for i, j in reversed(chain):
+        if out and i - out[-1][0] == j - out[-1][1] and i <= out[-1][0] + out[-1][2]:
+            out[-1] = (*out[-1][:2], i + ANCHOR - out[-1][0])
+        elif not out or i >= out[-1][0] + out[-1][2] and j >= out[-1][1] + out[-1][2]:
+            out.append((i, j, ANCHOR))
+    return out
+
+
+def anchored_alignment(old: str, new: str) -> list[tuple[str, int, int, int, int]]:
+    """``plain_alignment`` of what lies between common runs of words, so that a long text with changes here and there costs about its length. Where words repeat it may align other equal ones than the plain one does."""
+    a, b = _TOKEN.findall(old), _TOKEN.findall(new)
+    at, bt = ([0, *accumulate(map(len, x))] for x in (a, b))
+    out: list[tuple[str, int, int, int, int]] = []
+
+    def between(i: int, i2: int, j: int, j2: int) -> None:
+        x, x2, y, y2 = at[i], at[i2], bt[j], bt[j2]
+        if (x2 - x) * (y2 - y) <= GAP:
+            out.extend((kind, x + p, x + p2, y + q, y + q2) for kind, p, p2, q, q2 in plain_alignment(old[x:x2], new[y:y2]))
+        else:
+            out.extend((kind, at[i + p], at[i + p2], bt[j + q], bt[j + q2]) for kind, p, p2, q, q2 in plain_alignment(a[i:i2], b[j:j2]))
+
+    i = j = 0
+    for p, q, n in [*_common_runs(a, b), (len(a), len(b), 0)]:
+        if p > i or q > j:
+            between(i, p, j, q)
+        if n:
+            out.append(("equal", at[p], at[p + n], bt[q], bt[q + n]))
+        i, j = p + n, q + n
+    return out
+
+
+def map_spans(old, new, marked, align=plain_alignment):
     """Spans moved from one text to another along their character alignment; those that vanish are left out.
 
-    Alignment is superlinear: for rewrites of our own take ``splice``, which tracks offsets exactly.
+    The plain alignment is superlinear: for long texts take ``anchored_alignment``, for rewrites of our own ``splice``,
+    which tracks offsets exactly.
     """
     if old == new:
         return list(map(dict, marked))
-    blocks = difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
+    blocks = align(old, new)
     begins = [b[1] for b in blocks]
 
     def block(p: int):
@@ -170,11 +236,17 @@ def map_spans(old, new, marked):
     return out
 
 
-@arrow_column(f"array<{SPAN}>")
-def remap(old: pa.Array, new: pa.Array, spans: pa.Array) -> pa.Array:
-    """Column form of ``map_spans``."""
-    rows = [map_spans(a, b, s or []) if a is not None and b is not None else [] for a, b, s in zip(old.to_pylist(), new.to_pylist(), spans.to_pylist())]
-    return pa.array(rows, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("text", pa.string())])))
+def _remapped(align):
+    @arrow_column(f"array<{SPAN}>")
+    def run(old: pa.Array, new: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = [map_spans(a, b, s or [], align) if a is not None and b is not None else [] for a, b, s in zip(old.to_pylist(), new.to_pylist(), spans.to_pylist())]
+        return pa.array(rows, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("text", pa.string())])))
+
+    return run
+
+
+#: Column forms of ``map_spans``: by the plain alignment, and by the anchored one for texts of any length.
+remap, remap_long = _remapped(plain_alignment), _remapped(anchored_alignment)
 
 
 #: Marks in order of weight, and their colours.

@@ -411,6 +411,13 @@ def remapped_spans(spark, d):
     return made.select("conv_id", "turn", F.explode(rewrite.remap(F.col("text"), F.col("new"), F.col("gold"))).alias("s")).select("conv_id", "turn", "s.*")
 
 
+@query()
+def remapped_documents(spark, d):
+    """Gold spans of whole documents, moved onto their changed texts by anchored alignment."""
+    made = base.both_texts(base.corpus(spark, d))
+    return made.select("doc_id", F.posexplode(rewrite.remap_long(F.col("text"), F.col("text_t"), F.col("gold"))).alias("idx", "s")).select("doc_id", "idx", "s.*")
+
+
 @query()
 def highlighted_turns(spark, d):
     gold = F.transform(spans_of(base.GOLD)(F.col("text")), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "text")]))

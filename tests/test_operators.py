@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -128,6 +129,32 @@ def test_remap(case, other):
     assert text == other or all(0 <= s["start"] < s["end"] <= len(other) and other[s["start"] : s["end"]] == s["text"] for s in rewrite.map_spans(text, other, marked))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([f"w{k}" for k in range(40)] + ["é", ",", "\n"]), max_size=60), st.lists(st.tuples(st.integers(0, 59), st.sampled_from(["", "new", "w3 w4"])), max_size=5))
+def test_anchored_alignment(words, edits):
+    """Its operations make the new text of the old one, in order and without gaps."""
+    changed = list(words)
+    for at, w in edits:
+        if at < len(changed):
+            changed[at] = w
+    old, new = " ".join(words), " ".join(changed)
+    i = j = 0
+    for kind, a, b, c, d in rewrite.anchored_alignment(old, new):
+        assert (a, c) == (i, j) and (kind != "equal" or old[a:b] == new[c:d] and b > a)
+        i, j = b, d
+    assert (i, j) == (len(old), len(new))
+
+
+def test_anchored_alignment_of_a_long_text():
+    """Half a million characters with surrogates here and there: spans end up where the rewriting put them."""
+    rng = random.Random(3)
+    words = [f"word{rng.randrange(5000)}" for _ in range(60_000)]
+    text, at = " ".join(words), [0, *itertools.accumulate(len(w) + 1 for w in words)]
+    spans = [{"start": at[k], "end": at[k] + len(words[k]), "label": "N", "text": words[k]} for k in sorted(rng.sample(range(60_000), 300))]
+    new, kept = rewrite.splice_text(text, spans, ["#" * rng.randrange(1, 20) for _ in spans])
+    assert rewrite.map_spans(text, new, spans, rewrite.anchored_alignment) == kept
+
+
 def test_remap_of_a_replacement():
     moved = rewrite.map_spans("call Ann Lee now", "call Zoe now", [{"start": 5, "end": 12, "label": "N", "text": "Ann Lee"}])
     assert moved[0]["start"] >= 5 and "call Zoe now"[moved[0]["end"] :] == " now"
