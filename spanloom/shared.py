@@ -39,11 +39,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, for results that several jobs read."""
+    """``df`` as a Parquet table in the shared folder, for results that several jobs read. Its columns are numbered there: names may differ in case alone."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    plain.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
     out._scratch = path
     return out
 
