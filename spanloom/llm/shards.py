@@ -10,7 +10,7 @@ Defined cases: an arrival without rows commits a version without new shards. A s
 its schema. Rows are kept as they come, repeated, null, empty or very long (a row group is merged at a time, so memory
 follows the longest rows of one); of all types that Parquet and Arrow share, timestamps with and without zone included.
 Shards of equal size are merged in order of path. An arrival whose columns or types differ from the store's is refused.
-Any column names are allowed that Spark can write as Parquet (it refuses names that differ in case alone).
+Any column names are allowed; of those that differ in case alone the later ones have a number in the files.
 """
 
 from __future__ import annotations
@@ -43,6 +43,17 @@ class Shard:
     bytes: int
 
 
+def _file_names(names: list[str]) -> list[str]:
+    """Names for Parquet, which Spark wants to differ in more than case."""
+    out: list[str] = []
+    for name in names:
+        taken, k, own = {n.lower() for n in out}, 2, name
+        while own.lower() in taken:
+            own, k = f"{name}_{k}", k + 1
+        out.append(own)
+    return out
+
+
 class StaleManifest(RuntimeError):
     """Another writer committed this version first."""
 
@@ -123,7 +134,7 @@ class ShardStore:
             raise ValueError("the arrival's columns differ from the store's")
         name = f"data/arrival-{uuid.uuid4().hex}"
         with _micros(self.spark):
-            rows.write.option("maxRecordsPerFile", shard_rows).option("compression", "zstd").parquet(f"{self.root}/{name}")
+            rows.toDF(*_file_names(rows.columns)).write.option("maxRecordsPerFile", shard_rows).option("compression", "zstd").parquet(f"{self.root}/{name}")
         new = self._measured([(f"{name}/{p}", size) for p, size in listed(f"{self.root}/{name}", ".parquet")])
         return self._commit(base, schema, base["shards"] + [s for s in new if s.rows])
 
@@ -206,7 +217,9 @@ class ShardStore:
         schema = T.StructType.fromJson(json.loads(held["schema"]))
         if not held["shards"]:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in held["shards"]])
+        names = [f.name for f in schema]
+        in_files = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(_file_names(names), schema)])
+        return self.spark.read.schema(in_files).parquet(*[f"{self.root}/{s.path}" for s in held["shards"]]).toDF(*names)
 
 
 def _kept(rows: DataFrame, shard_rows: int, target: int) -> ShardStore:
