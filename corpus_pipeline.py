@@ -2,7 +2,7 @@
 
 Each stage works on all rows that its predecessor left. What holds for all of them: null, empty and very long texts, null
 and repeated ids, repeated rows, ties and no rows have the results that the operator's module states, and all but the last
-return the columns of their input, whatever these are called (names that differ in case alone can't be written as Parquet).
+return the columns of their input, whatever these are called.
 """
 
 from __future__ import annotations
