@@ -154,7 +154,9 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     upper = (_CLASS[data] == 1).astype(np.int64)
     running = np.concatenate(([0], np.cumsum(upper)))
     capitals = np.minimum(running[stop] - running[start], 3) if len(start) else same
-    ahead = np.where(stop < len(data), data[np.minimum(stop, max(len(data) - 1, 0))], 32).astype(np.int64) if len(start) else same
+    last = np.zeros(len(data) + 1, bool)
+    last[off[1:]] = True
+    ahead = np.where(last[stop], 32, np.append(data, np.uint8(32))[stop]).astype(np.int64)
     shape = mix((np.minimum(stop - start, 20) + 32 * (capitals + 4 * (same + 2 * ahead))).astype(U64) + U64(1 << 40))
     n_tri = np.maximum(np.diff(off) - 2, 0)
     room = np.concatenate(([0], np.cumsum(n_tri + np.diff(at))))
@@ -192,7 +194,7 @@ class Scorer:
 def fit_scorer(index: np.ndarray, share: np.ndarray, at: np.ndarray, target: np.ndarray, prior: float, rounds: int = 150, rate: float = 2.0, ridge: float = 1e-6) -> Scorer:
     """Logistic regression on rows of (bucket, share of the document's features), by AdaGrad over the whole sample; classes weigh the same."""
     w, bias, seen, seen_bias = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
-    row = np.repeat(np.arange(len(target)), np.diff(at))
+    row = np.repeat(np.arange(len(target), dtype=np.int32), np.diff(at))
     good, bad = max(target.sum(), 1e-9), max((1 - target).sum(), 1e-9)
     weight = (target / good + (1 - target) / bad) / 2
     for _ in range(rounds):
@@ -212,10 +214,12 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return roles(docs, i=id_col, t=text_col).select("i", F.col("t").cast("string"))
 
 
-def _chunks(column: pa.Array):
-    data, off = text_bytes(column)
-    for lo, hi in spans(off, CHUNK):
-        yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+def _chunks(column: pa.Array, rows: int = 2048):
+    """(first row, one past the last, bytes, offsets) of runs of rows, so that neither a batch's bytes nor work arrays are held at once."""
+    for first in range(0, len(column), rows):
+        data, off = text_bytes(column.slice(first, rows))
+        for lo, hi in spans(off, CHUNK):
+            yield first + lo, first + hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
 
 def vote_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,9 +272,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     got = training_sample(docs, train_docs, seed, id_col, text_col).mapInArrow(run, "index array<int>, share array<float>, target double, u bigint").toArrow()
     got = got.take(np.argsort(np.asarray(got["u"]), kind="stable")[:train_docs])
     lists = got["index"].combine_chunks()
-    index = np.asarray(lists.flatten()).astype(np.int64)
+    index = np.asarray(lists.flatten())
     at = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64))))
-    share = np.asarray(got["share"].combine_chunks().flatten(), dtype=np.float64)
+    share = np.asarray(got["share"].combine_chunks().flatten())
     target = np.asarray(got["target"], dtype=np.float64)
     return model, fit_scorer(index, share, at, target, model.prior)
 
