@@ -12,13 +12,17 @@ def test_null_ids_train(spark, sf):
     assert any(np.any(np.asarray(v) != 0) for v in vars(scorer).values() if isinstance(v, np.ndarray) and len(v) > 1)
 
 
-GOOD = "The ferry left the harbour at noon, and the town settled into its long afternoon. Somebody had painted the gate again, number {}."
+GOOD = (
+    "The ferry left the harbour at noon, and the town settled into its long afternoon. Somebody had painted the gate again, number {}. "
+    "By evening most of us had gone up to the mill, where a few old men were playing cards, and nobody spoke of what we had seen. "
+    "It rained a little; then the sky cleared from the west, as it does in spring, and we walked home along the river with lamp {}."
+)
 JUNK = "WIN!!! $$$ CLICK #{} NOW | FREE | FREE | @@@ >>> !!! WIN WIN WIN $$$ ### CLICK CLICK | {} |"
 
 
 def test_null_ids_at_scale(spark):
     """8,000 rows without ids, a fifth of them junk: the sample has both kinds, within its bound, and the junk goes."""
-    rows = spark.range(8000).select(F.lit(None).cast("bigint").alias("doc_id"), F.when(F.col("id") % 5 == 0, F.format_string(JUNK.replace("{}", "%d"), "id", "id")).otherwise(F.repeat(F.format_string(GOOD.replace("{}", "%d") + " ", "id"), 3)).alias("text"), (F.col("id") % 5 == 0).alias("junk"))
+    rows = spark.range(8000).select(F.lit(None).cast("bigint").alias("doc_id"), F.when(F.col("id") % 5 == 0, F.format_string(JUNK.replace("{}", "%d"), "id", "id")).otherwise(F.format_string(GOOD.replace("{}", "%d"), "id", "id")).alias("text"), (F.col("id") % 5 == 0).alias("junk"))
     kept = weak_quality.keep_good(rows).groupBy("junk").count().collect()
     assert {r["junk"]: r["count"] for r in kept} == {False: 6400}
 
