@@ -12,6 +12,8 @@ from ..functions.text import VARIANTS, category, category_sql, contexts, delta,
 from ..operators import paired, report, rewrite, score
 from ..operators.detect import answer_spans, run_rows, spans_of
 from ..operators.match import found_spans, from_relations, overlap_flags, unmatched
+from ..schema import SPAN
+from ..shared import written
 from ..sources.readers import response_spans, tagged_spans
 from ..streaming.scoring import event_windows
 from . import base
@@ -155,11 +157,13 @@ def format_check(spark, d):
 
 @query(f"{PAIRED_SQL} SELECT benchmark, doc_id, system, CAST(idx AS INTEGER) AS idx, label, original, changed, masked, found_o, found_t FROM pairs")
 def masked_pairs(spark, d):
-    """Through the join of stored runs of both conditions."""
+    """Through the join of stored runs of both conditions: detectors run once for each text, what they found is written and joined by key."""
     docs = base.both_texts(base.corpus(spark, d))
-    original = run_rows(docs, base.SYSTEMS)
-    changed = run_rows(docs.select(*DOC, "language", F.col("gold_t").alias("gold"), "text_t"), base.SYSTEMS, text="text_t")
-    return paired.paired_spans(paired.pair_runs(original, changed))
+    kind = f"array<{SPAN}>"
+    sides = F.array(*[F.struct(F.lit(c).alias("condition"), F.col(t).alias("text"), F.col(g).cast(kind).alias("gold")) for c, t, g in (("o", "text", "gold"), ("t", "text_t", "gold_t"))])
+    each = docs.select(*DOC, F.explode(sides).alias("c")).select(*DOC, "c.*")
+    runs = written(run_rows(each, base.SYSTEMS, keep=(*DOC, "condition", "gold")), "runs")
+    return paired.paired_spans(paired.pair_runs(runs.where("condition = 'o'"), runs.where("condition = 't'")))
 
 
 def _pairs(spark, d):
