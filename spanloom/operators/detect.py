@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.udf import arrow_column
-from ..schema import PREDICTED
+from ..schema import PREDICTED, SPAN
 
 Spans = list[tuple[int, int, str, str, float]]
 
@@ -30,6 +30,15 @@ class Detector(Protocol):
     def predict(self, text: str) -> Spans: ...
 
 
+def needed_literal(pattern: re.Pattern) -> str:
+    """The longest string that every match holds, as far as the pattern's outermost sequence tells; "" if there is none."""
+    if pattern.flags & re.IGNORECASE:
+        return ""
+    parts = re._parser.parse(pattern.pattern, pattern.flags)
+    runs = "".join(chr(value) if op is re._constants.LITERAL else "\0\0" for op, value in parts).split("\0\0")
+    return max(runs, key=len)
+
+
 @dataclass(frozen=True)
 class RegexDetector:
     """Spans of labelled patterns in order of start, end and label. Patterns should avoid look-around, so that SQL engines can run them too."""
@@ -40,8 +49,9 @@ class RegexDetector:
 
     def predict(self, text: str) -> Spans:
         if not self.compiled:
-            self.compiled.extend((label, re.compile(p)) for label, p in self.patterns)
-        out = [(m.start(), m.end(), label, m.group(), 1.0) for label, p in self.compiled for m in p.finditer(text)]
+            self.compiled.extend((label, p, needed_literal(p)) for label, p in ((label, re.compile(p)) for label, p in self.patterns))
+        # most texts lack the literal of a costly pattern: an address's is tried at each letter of each word
+        out = [(m.start(), m.end(), label, m.group(), 1.0) for label, p, literal in self.compiled if literal in text for m in p.finditer(text)]
         return sorted(out, key=lambda s: s[:3])
 
 
@@ -170,15 +180,14 @@ def locate_first(text: str, tags: Sequence[dict]) -> list[dict]:
     return sorted(out, key=lambda s: s["start"])
 
 
-def _span_lists(found: list[Spans | None]) -> pa.ListArray:
-    """A list array of span structs from one list for each row; None is null."""
+def _span_lists(found: list[Spans | None], fields: int = 5) -> pa.ListArray:
+    """A list array of span structs, of their first ``fields`` fields, from one list for each row; None is null."""
     sizes = [len(x) if x is not None else 0 for x in found]
     flat = [s for x in found if x for s in x]
-    columns = zip(*flat) if flat else ([], [], [], [], [])
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
-    fields = pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["start", "end", "label", "text", "score"])
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())[:fields]
+    columns = pa.StructArray.from_arrays([pa.array([s[k] for s in flat], kind) for k, kind in enumerate(kinds)], ["start", "end", "label", "text", "score"][:fields])
     off = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off), fields, mask=pa.array([x is None for x in found]) if len(found) else None)
+    return pa.ListArray.from_arrays(pa.array(off), columns, mask=pa.array([x is None for x in found]) if len(found) else None)
 
 
 @arrow_column(f"array<{PREDICTED}>")
@@ -188,16 +197,29 @@ def answer_spans(text: pa.Array, answer: pa.Array) -> pa.Array:
     return _span_lists([locate_nearest(t, parse_tolerant(a).get("spans", [])) if t is not None else [] for t, a in rows])
 
 
-def spans_of(detector: Detector) -> Callable[[Column], Column]:
-    """A column function: the spans of one detector; null text has none."""
+def spans_of(detector: Detector, scores: bool = True) -> Callable[[Column], Column]:
+    """A column function: the spans of one detector, with their scores or without; null text has none."""
 
-    @arrow_column(f"array<{PREDICTED}>")
+    @arrow_column(f"array<{PREDICTED if scores else SPAN}>")
     def run(text: pa.Array) -> pa.Array:
-        return _span_lists([detector.predict(t) if t is not None else [] for t in text.to_pylist()])
+        return _span_lists([detector.predict(t) if t is not None else [] for t in text.to_pylist()], 5 if scores else 4)
 
     return run
 
 
+def attempts(detectors: Sequence[Detector], text: pa.Array, fields: int = 5) -> list[pa.ListArray]:
+    """For each detector the spans of all texts, of their first ``fields`` fields; null where it failed."""
+
+    def one(d: Detector, t: str | None) -> Spans | None:
+        try:
+            return d.predict(t) if t is not None else []
+        except Exception:  # a detector's failure on a document is data, see above
+            return None
+
+    texts = text.to_pylist()
+    return [_span_lists([one(d, t) for t in texts], fields) for d in detectors]
+
+
 def predictions(detectors: Sequence[Detector]) -> Callable[[Column], Column]:
     """A column function: for each detector its name, whether it succeeded, and its spans. One pass over the text for all of them."""
     names = [d.name for d in detectors]

@@ -27,7 +27,12 @@ def paired_spans(both: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id",
     flags = {"fo": overlap_flags("gold_o", "spans_o"), "ft": overlap_flags("gold_t", "spans_t")}
     if exact:
         flags |= {"eo": equal_flags("gold_o", "spans_o"), "et": equal_flags("gold_t", "spans_t")}
-    flagged = both.select(*keys, "gold_o", "gold_t", *[c.alias(name) for name, c in flags.items()])
+    return flagged_spans(both.select(*keys, "gold_o", "gold_t", *[c.alias(name) for name, c in flags.items()]), keys, exact)
+
+
+def flagged_spans(flagged: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id", "system"), exact: bool = False) -> DataFrame:
+    """``paired_spans`` from rows that have the flags fo and ft (with ``exact`` also eo and et) of their spans."""
+    flags = ("fo", "ft", "eo", "et") if exact else ("fo", "ft")
     # not a filter on the sizes: pushed below an exchange it would run the detectors and the rewriting twice
     even = F.when(F.size("gold_o") == F.size("gold_t"), F.arrays_zip("gold_o", "gold_t", *flags))
     each = flagged.select(*keys, F.posexplode(even).alias("idx", "z"))
@@ -95,6 +100,12 @@ def agreement(pairs: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id")) -
     return each.groupBy("n_systems").agg(F.count(F.lit(1)).alias("n_spans"))
 
 
+def recall_sums(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``recall_cells`` from rows that have counts n and found; groups without spans are left out."""
+    t = counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("found").alias("found")).where("n > 0")
+    return t.select("*", F.round(ratio(100.0 * F.col("found"), F.col("n")), 1).alias("recall_pct"))
+
+
 def recall_cells(found: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, n, found, recall_pct): hits among spans, in percent to one decimal, 0 for none."""
     t = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("found"))

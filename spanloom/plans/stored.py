@@ -70,7 +70,7 @@ def read_tagged(spark, d):
 def read_rewritten(spark, d):
     """The changed corpus, written as rewritten documents."""
     path = scratch_path(spark, "rewritten")
-    docs = base.both_texts(base.corpus(spark, d))
+    docs = base.both_texts(spark, d)
     docs.select(F.col("doc_id").cast("string"), F.col("text_t").alias("text"), F.col("gold_t").alias("gold_spans")).write.json(path)
     return _rows(readers.load(spark, "asq_phi_transformed", path))
 
@@ -88,7 +88,7 @@ def stored_runs(spark, d):
 @query(f"{BASE_SQL}, {scored_sql('type')} SELECT system, 'all' AS benchmark, 'type' AS mode, n_docs, precision, recall, f1, leakage_rate, char_leakage_rate FROM ({averaged_sql('system')})")
 def stored_summary(spark, d):
     path = scratch_path(spark, "summary")
-    made = score.micro_average(score.document_scores(base.runs(spark, d)), ("system",), 9)
+    made = score.micro_average(base.run_scores(spark, d), ("system",), 9)
     sinks.write_summary(made.select("system", F.lit("all").alias("benchmark"), F.lit("type").alias("mode"), "n_docs", "precision", "recall", "f1", "leakage_rate", "char_leakage_rate"), path)
     return readers.read_summaries(spark, path).drop("stem")
 
