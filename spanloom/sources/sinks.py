@@ -100,6 +100,6 @@ def write_standoff(rows: DataFrame, path: str) -> None:
 
 
 def write_sheet(rows: DataFrame, path: str) -> None:
-    """An annotation sheet of fixed columns; those that people fill in stay empty."""
+    """An annotation sheet of fixed columns; those that people fill in stay empty. White space at either end of a cell is kept."""
     have = set(rows.columns)
-    rows.select(*[(F.col(c).cast("string") if c in have else F.lit("")).alias(c) for c in SHEET]).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    rows.select(*[(F.col(c).cast("string") if c in have else F.lit("")).alias(c) for c in SHEET]).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -104,6 +104,13 @@ def test_summaries_and_cells(spark, tmp_path):
     assert readers.read_cells(spark, str(tmp_path / "c")).first()["recall_pct"] == 25.0
 
 
+def test_sheet_keeps_white_space(spark, tmp_path):
+    cells = [" a", "a ", "\n a", "a\n", "\r", "\ta\t", 'a,b\n"c"\n', "\x01", "a\r\nb", "\u00a0"]
+    sinks.write_sheet(spark.createDataFrame([(str(k), x) for k, x in enumerate(cells)], "id string, original string"), str(tmp_path / "sheet"))
+    got = {int(r["id"]): r["original"] for r in readers.read_sheet(spark, str(tmp_path / "sheet")).collect()}
+    assert [got[k] for k in range(len(cells))] == cells
+
+
 def test_sheet_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("1", 'say "hi", ok\nnext', "")], "id string, original string, valid string")
     sinks.write_sheet(df, str(tmp_path / "sheet"))
