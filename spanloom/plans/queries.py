@@ -407,18 +407,15 @@ def run_names(spark, d):
 @query()
 def remapped_spans(spark, d):
     """Gold spans of conversation turns, moved onto their masked texts by alignment."""
-    turns = base.spread(base.table(spark, d, "conversations"))
-    gold = F.transform(spans_of(base.GOLD)(F.col("text")), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "text")]))
-    rows = turns.select("conv_id", "turn", "text", gold.alias("gold"))
-    made = rows.select("conv_id", "turn", "text", "gold", rewrite.mask_labels(F.col("text"), F.col("gold")).alias("new"))
-    return made.select("conv_id", "turn", F.explode(rewrite.remap(F.col("text"), F.col("new"), F.col("gold"))).alias("s")).select("conv_id", "turn", "s.*")
+    turns = base.spread(base.table(spark, d, "conversations"), "conv_id", "turn")
+    return turns.select("conv_id", "turn", base.remapped_masks("text").alias("s")).select("conv_id", "turn", F.explode("s").alias("s")).select("conv_id", "turn", "s.*")
 
 
 @query()
 def remapped_documents(spark, d):
     """Gold spans of whole documents, moved onto their changed texts by anchored alignment."""
-    made = base.both_texts(spark, d)
-    return made.select("doc_id", F.posexplode(rewrite.remap_long(F.col("text"), F.col("text_t"), F.col("gold"))).alias("idx", "s")).select("doc_id", "idx", "s.*")
+    made = base.documents(spark, d).select("doc_id", base.remapped_changes("text", "doc_id", "language").alias("s"))
+    return made.select("doc_id", F.posexplode("s").alias("idx", "s")).select("doc_id", "idx", "s.*")
 
 
 @query()

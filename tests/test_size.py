@@ -34,3 +34,54 @@ def test_needed_literal():
     assert {p: needed_literal(re.compile(p)) for p in patterns} == patterns
     d = RegexDetector("d", (("A", "ab|cd"), ("B", "a?b"), ("C", "(?i)XY")))
     assert [s[:3] for s in d.predict("ab cd xy")] == [(0, 2, "A"), (0, 2, "B"), (3, 5, "A"), (6, 8, "C")]
+
+
+def test_plain_alignment_is_that_of_difflib(monkeypatch):
+    import difflib
+    import random
+
+    from spanloom.operators import rewrite
+
+    def check(a, b):
+        assert rewrite.plain_alignment(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+    r = random.Random(7)
+    for most in (4096, 0):  # by slices, by ranks
+        monkeypatch.setattr(rewrite, "SLICED", most)
+        for a, b in (("", ""), ("", "a"), ("a", ""), ("aaaa", "aaa"), ("abab", "baba"), ("é\u2028x", "x\u2028é")):
+            check(a, b)
+        for _ in range(200 if most else 60):
+            a = "".join(r.choice("ab c") for _ in range(r.randint(0, 60)))
+            b = "".join(r.choice("ab c") for _ in range(r.randint(0, 60))) if r.random() < 0.3 else "".join(c if r.random() < 0.9 else r.choice(["", "[X]", "b"]) for c in a)
+            check(a, b)
+            check(a.split(" "), b.split(" "))
+
+
+def test_alignment_searches_a_long_text_few_times(monkeypatch):
+    """Beyond the anchors a gap of many repeated tokens cost their number squared."""
+    from spanloom.operators import rewrite
+
+    looked = []
+    for name in ("_sliced", "_ranked"):
+        made = getattr(rewrite, name)
+        monkeypatch.setattr(rewrite, name, lambda a, b, made=made: lambda k: (looked.append(len(a) + len(b)), made(a, b)(k))[1])
+    old = "word " * 20_000
+    assert rewrite.plain_alignment(old, old[:50_000] + "!" + old[50_000:])[0][:3] == ("equal", 0, 50_000)
+    assert sum(looked) < 20 * len(old)
+
+
+def test_scan_of_one_row_group_is_spread(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from spanloom.plans import base
+
+    n = 4000
+    pq.write_table(pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array([f"{k} " * 2000 for k in range(n)])}), tmp_path / "t.parquet", row_group_size=n, compression="none", use_dictionary=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        rows = spark.read.parquet(str(tmp_path / "t.parquet"))
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [r["count"] for r in base.spread(rows, "doc_id").groupBy(base.F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(sizes) == n and max(sizes) < n / 4
