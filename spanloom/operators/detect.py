@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import partial
@@ -149,18 +150,33 @@ def _whole(x) -> int:
         return 0
 
 
+def _nearest_free(places: list[int], hint: int, taken: set[int]) -> int | None:
+    """Of places in order the one nearest to the hint that isn't taken, the lesser of two."""
+    right = bisect_left(places, hint)
+    left = right - 1
+    while left >= 0 or right < len(places):
+        if left >= 0 and (right == len(places) or hint - places[left] <= places[right] - hint):
+            at, left = places[left], left - 1
+        else:
+            at, right = places[right], right + 1
+        if at not in taken:
+            return at
+    return None
+
+
 def locate_nearest(text: str, claims: Sequence[dict]) -> Spans:
     """Each claimed surface at its occurrence nearest to the hinted start that no earlier claim has; claims that aren't objects are skipped."""
-    taken: set[tuple[int, int]] = set()
+    known: dict[str, tuple[list[int], set[int]]] = {}  # a surface's occurrences, looked for once, and which of them are taken
     out: Spans = []
     for claim in claims if isinstance(claims, list) else []:
         if not isinstance(claim, dict):
             continue
         value, hint = str(claim.get("text") or "").strip(), _whole(claim.get("start"))
-        free = [i for i in _occurrences(text, value) if (i, i + len(value)) not in taken] if value else []
-        if free:
-            at = min(free, key=lambda i: (abs(i - hint), i))
-            taken.add((at, at + len(value)))
+        if value and value not in known:
+            known[value] = list(_occurrences(text, value)), set()
+        at = _nearest_free(known[value][0], hint, known[value][1]) if value else None
+        if at is not None:
+            known[value][1].add(at)
             out.append((at, at + len(value), str(claim.get("label", "OTHER")), value, 1.0))
     return out
 

@@ -155,6 +155,28 @@ def _counters(mode: str):
 COUNTED = {mode: _counters(mode) for mode in MODES}
 
 
+@arrow_column("array<struct<label:string,tp:bigint,fp:bigint,fn:bigint>>")
+def counted_by_label(gold: pa.Array, spans: pa.Array) -> pa.Array:
+    """Column: the strict counters of each label that a document's labelled or predicted spans have; those without a label are left out."""
+    (go, gs, ge), (po, ps, pe) = span_bounds(gold), span_bounds(spans)
+    names = pa.concat_arrays([gold.flatten().field("label"), spans.flatten().field("label")]).dictionary_encode()
+    code = np.asarray(pc.fill_null(names.indices, -1)).astype(np.int64)
+    row = np.concatenate((np.repeat(np.arange(len(gold)), np.diff(go)), np.repeat(np.arange(len(gold)), np.diff(po))))
+    keys = [row, code, np.concatenate((gs, ps)), np.concatenate((ge, pe))]
+    order = np.flatnonzero(code >= 0)
+    order = order[np.lexsort([k[order] for k in reversed(keys)])]
+    keys = [k[order] for k in keys]
+    heads = lambda ks: np.flatnonzero(np.concatenate((np.ones(min(1, len(ks[0])), bool), np.any([k[1:] != k[:-1] for k in ks], axis=0))))
+    mine, at = (order < len(gs)).astype(np.int64), heads(keys)
+    g, p = (np.add.reduceat(x, at) if len(at) else x for x in (mine, 1 - mine))
+    tp, row, code = np.minimum(g, p), keys[0][at], keys[1][at]
+    at = heads([row, code])
+    total = [np.add.reduceat(x, at) if len(at) else x for x in (tp, p - tp, g - tp)]
+    off = np.concatenate(([0], np.cumsum(np.bincount(row[at], minlength=len(gold)))))
+    labels = names.dictionary.take(pa.array(code[at]))
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.StructArray.from_arrays([labels, *map(pa.array, total)], ["label", "tp", "fp", "fn"]))
+
+
 def pooled(runs: DataFrame, keys: list[str], by_label: bool) -> DataFrame:
     """(keys, start, end[, label], g, p): how often each span is labelled and predicted, where a document's spans may lie in several rows or a breakdown needs the spans themselves: one shuffle, no join. Failed attempts are left out; a run without spans keeps one row of nulls, so that it counts."""
     side = lambda name, g, p: F.transform(F.coalesce(F.col(name), F.array().cast(f"{_array_of(runs, name)}")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), F.lit(g).alias("g"), F.lit(p).alias("p")))

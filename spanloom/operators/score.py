@@ -24,7 +24,12 @@ def document_scores(runs: DataFrame, mode: str = "type", keys: Sequence[str] = (
 def label_scores(runs: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id", "system"), by: Sequence[str] = ("system",)) -> DataFrame:
     """Strict counters by label and group."""
     tp = F.least("g", "p")
-    t = pooled(runs, list(keys), True).where("label is not null").groupBy(*by, "label").agg(F.sum(tp).alias("tp"), F.sum(F.col("p") - tp).alias("fp"), F.sum(F.col("g") - tp).alias("fn"))
+    return labelled_f1(pooled(runs, list(keys), True).where("label is not null").select(*by, "label", tp.alias("tp"), (F.col("p") - tp).alias("fp"), (F.col("g") - tp).alias("fn")), by)
+
+
+def labelled_f1(rows: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
+    """``label_scores`` from rows that have the counters of a label."""
+    t = rows.groupBy(*by, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     return t.select("*", F.round(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 9).alias("f1"))
 
 

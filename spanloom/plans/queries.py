@@ -64,7 +64,7 @@ def score_documents(spark, d):
 
 @query(f"{BASE_SQL}, k AS (SELECT coalesce(g.system, p.system) AS system, coalesce(g.label, p.label) AS label, coalesce(g.n, 0) AS g, coalesce(p.n, 0) AS p FROM (SELECT doc_id, system, s, e, label, count(*) AS n FROM gold CROSS JOIN systems GROUP BY ALL) g FULL JOIN (SELECT doc_id, system, s, e, label, count(*) AS n FROM pred GROUP BY ALL) p ON g.doc_id = p.doc_id AND g.system = p.system AND g.s = p.s AND g.e = p.e AND g.label = p.label) SELECT *, round({ratio_sql('2 * tp', '2 * tp + fp + fn')}, 9) AS f1 FROM (SELECT system, label, sum(least(g, p))::BIGINT AS tp, sum(p - least(g, p))::BIGINT AS fp, sum(g - least(g, p))::BIGINT AS fn FROM k GROUP BY system, label)")
 def score_by_label(spark, d):
-    return score.label_scores(base.runs(spark, d))
+    return score.labelled_f1(base.label_counts(spark, d))
 
 
 _GREEDY = f"""{BASE_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, offers AS MATERIALIZED (SELECT a.doc_id, a.system, coalesce(p.ps, []) AS ps FROM attempt a LEFT JOIN (SELECT doc_id, system, list({{'i': idx, 's': s, 'e': e}} ORDER BY idx) AS ps FROM pred GROUP BY ALL) p USING (doc_id, system)),
@@ -420,8 +420,8 @@ def remapped_documents(spark, d):
 
 @query()
 def highlighted_turns(spark, d):
-    gold = F.transform(spans_of(base.GOLD)(F.col("text")), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "text")]))
-    rows = base.table(spark, d, "conversations").select("conv_id", "turn", "text", gold.alias("gold"))
+    turns = base.spread(base.table(spark, d, "conversations"), "conv_id", "turn")
+    rows = turns.select("conv_id", "turn", "text", base.GOLD_OF(F.col("text")).alias("gold"))
     return rows.select("conv_id", "turn", rewrite.highlighted(F.col("text"), F.col("gold")).alias("html"))
 
 

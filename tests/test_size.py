@@ -14,7 +14,7 @@ def python_steps(df) -> int:
     return sum("ArrowEvalPython" in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
 
 
-@pytest.mark.parametrize("name", ["condition_recall", "paired_contingency", "retention", "coverage_by_type", "agreement", "delta_matrix", "rank_preservation", "best_system", "shifted_spans", "read_rewritten"])
+@pytest.mark.parametrize("name", ["condition_recall", "paired_contingency", "retention", "coverage_by_type", "agreement", "delta_matrix", "rank_preservation", "best_system", "score_by_label", "shifted_spans", "read_rewritten"])
 def test_one_python_pass(spark, name):
     assert python_steps(entry.queries()[name](spark, FOLDER)) <= 1
 
@@ -85,3 +85,33 @@ def test_scan_of_one_row_group_is_spread(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sum(sizes) == n and max(sizes) < n / 4
+
+
+def test_counters_by_label(spark):
+    from spanloom.operators.match import counted_by_label
+
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())]))
+    s = lambda *x: [dict(zip(("start", "end", "label"), y)) for y in x]
+    gold = pa.array([s((0, 2, "A"), (0, 2, "A"), (3, 4, "B"), (3, 4, None)), [], s((0, 2, "A"))], kind)
+    spans = pa.array([s((0, 2, "A"), (3, 4, "C"), (3, 4, None)), s((1, 2, "A")), None], kind)
+    got = [[tuple(x.values()) for x in sorted(row, key=lambda x: x["label"])] for row in counted_by_label.arrow(gold, spans).to_pylist()]
+    assert got == [[("A", 1, 0, 1), ("B", 0, 0, 1), ("C", 0, 1, 0)], [("A", 0, 1, 0)], [("A", 0, 0, 1)]]
+    assert counted_by_label.arrow(gold.slice(1, 1), gold.slice(1, 1)).to_pylist() == [[]]
+
+
+def test_locating_looks_for_a_surface_once():
+    from spanloom.operators.detect import locate_nearest
+
+    class Text(str):
+        looked = 0
+
+        def find(self, *a):
+            Text.looked += 1
+            return super().find(*a)
+
+    n = 500
+    text = Text("ab " * n)
+    claims = [{"text": "ab", "start": 3 * k, "label": "X"} for k in range(n)] + [{"text": "ab", "start": 0}]
+    assert [s[0] for s in locate_nearest(text, claims)] == [3 * k for k in range(n)]
+    assert Text.looked <= n + 1
+    assert [s[0] for s in locate_nearest("a a a a", [{"text": "a", "start": h} for h in (3, 3, 3, 99)])] == [2, 4, 0, 6]
