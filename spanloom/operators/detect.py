@@ -206,7 +206,7 @@ def _span_lists(found: list[Spans | None], fields: int = 5) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off), columns, mask=pa.array([x is None for x in found]) if len(found) else None)
 
 
-@arrow_column(f"array<{PREDICTED}>")
+@arrow_column(f"array<{PREDICTED}>", once=True)
 def answer_spans(text: pa.Array, answer: pa.Array) -> pa.Array:
     """Column: the spans of a model's answers, read tolerantly and located in the texts; null text or answer has none."""
     rows = zip(text.to_pylist(), answer.to_pylist())
@@ -216,7 +216,7 @@ def answer_spans(text: pa.Array, answer: pa.Array) -> pa.Array:
 def spans_of(detector: Detector, scores: bool = True) -> Callable[[Column], Column]:
     """A column function: the spans of one detector, with their scores or without; null text has none."""
 
-    @arrow_column(f"array<{PREDICTED if scores else SPAN}>")
+    @arrow_column(f"array<{PREDICTED if scores else SPAN}>", once=True)  # exploding it infers a filter that would run it again
     def run(text: pa.Array) -> pa.Array:
         return _span_lists([detector.predict(t) if t is not None else [] for t in text.to_pylist()], 5 if scores else 4)
 

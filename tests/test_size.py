@@ -115,3 +115,8 @@ def test_locating_looks_for_a_surface_once():
     assert [s[0] for s in locate_nearest(text, claims)] == [3 * k for k in range(n)]
     assert Text.looked <= n + 1
     assert [s[0] for s in locate_nearest("a a a a", [{"text": "a", "start": h} for h in (3, 3, 3, 99)])] == [2, 4, 0, 6]
+
+
+@pytest.mark.parametrize("name, most", [("located_answers", 2), ("read_tagged", 1), ("span_extract", 1), ("remapped_spans", 1), ("remapped_documents", 1)])
+def test_no_python_step_runs_twice(spark, name, most):
+    assert python_steps(entry.queries()[name](spark, FOLDER)) <= most
