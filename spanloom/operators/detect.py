@@ -240,7 +240,7 @@ def predictions(detectors: Sequence[Detector]) -> Callable[[Column], Column]:
     """A column function: for each detector its name, whether it succeeded, and its spans. One pass over the text for all of them."""
     names = [d.name for d in detectors]
 
-    @arrow_column(f"array<struct<system:string,ok:boolean,spans:array<{PREDICTED}>>>")
+    @arrow_column(f"array<struct<system:string,ok:boolean,spans:array<{PREDICTED}>>>", once=True)
     def run(text: pa.Array) -> pa.Array:
         found: list[Spans | None] = []
         for t in text.to_pylist():

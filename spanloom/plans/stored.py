@@ -79,7 +79,7 @@ def read_rewritten(spark, d):
 def stored_runs(spark, d):
     """Runs written as a JSON object for each document, read again and scored."""
     path = scratch_path(spark, "runs")
-    runs = base.run_rows(base.corpus(spark, d), base.SYSTEMS, keep=("benchmark", "doc_id", "language", "text", "gold"))
+    runs = base.runs(spark, d, keep=("benchmark", "doc_id", "language", "text", "gold"))
     sinks.write_runs(runs.withColumn("doc_id", F.col("doc_id").cast("string")), path, include_text=True)
     back = readers.first_or_last(readers.read_runs(spark, path))
     return score.micro_average(score.document_scores(back, keys=("doc_id", "system")), ("system",), 9)

@@ -120,3 +120,21 @@ def test_locating_looks_for_a_surface_once():
 @pytest.mark.parametrize("name, most", [("located_answers", 2), ("read_tagged", 1), ("span_extract", 1), ("remapped_spans", 1), ("remapped_documents", 1)])
 def test_no_python_step_runs_twice(spark, name, most):
     assert python_steps(entry.queries()[name](spark, FOLDER)) <= most
+
+
+@pytest.mark.parametrize("name, module", [("stored_runs", "sources.sinks.write_runs")])
+def test_what_is_stored_is_made_in_one_pass(spark, monkeypatch, name, module):
+    """Labelled spans, changed texts and predictions: each Python step of its own was a worker more for each task."""
+    import importlib
+
+    path, _, function = f"spanloom.{module}".rpartition(".")
+    place, seen = importlib.import_module(path), []
+    made = getattr(place, function)
+    monkeypatch.setattr(place, function, lambda df, *a, **k: (seen.append(df), made(df, *a, **k))[1])
+    entry.queries()[name](spark, FOLDER)
+    assert [python_steps(df) for df in seen] == [1]
+
+
+@pytest.mark.parametrize("name", ["overlap_recall", "false_positive_spans", "missed_spans", "over_redaction"])
+def test_runs_are_made_in_one_pass(spark, name):
+    assert python_steps(entry.queries()[name](spark, FOLDER)) <= 2  # detection, and matching
