@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.stats import Z95, bootstrap_half_width, paired_difference, tost_p
 from ..functions.text import VARIANTS, category, category_sql, contexts, delta, percent, run_name, run_time, stable_number_sql, verdict, well_formed_sql
 from ..operators import paired, report, rewrite, score
-from ..operators.detect import answer_spans, run_rows, spans_of
+from ..operators.detect import answer_spans, spans_of
 from ..operators.match import found_spans, from_relations, unmatched
-from ..schema import SPAN
 from ..shared import written
 from ..sources.readers import response_spans, tagged_spans
 from ..streaming.scoring import event_windows
@@ -156,13 +155,10 @@ def format_check(spark, d):
 
 @query(f"{PAIRED_SQL} SELECT benchmark, doc_id, system, CAST(idx AS INTEGER) AS idx, label, original, changed, masked, found_o, found_t FROM pairs")
 def masked_pairs(spark, d):
-    """Through the join of stored runs of both conditions: detectors run once for each text, what they found is written and joined by key."""
-    docs = base.both_texts(spark, d)
-    kind = f"array<{SPAN}>"
-    sides = F.array(*[F.struct(F.lit(c).alias("condition"), F.col(t).alias("text"), F.col(g).cast(kind).alias("gold")) for c, t, g in (("o", "text", "gold"), ("t", "text_t", "gold_t"))])
-    each = docs.select(*DOC, F.explode(sides).alias("c")).select(*DOC, "c.*")
-    runs = written(run_rows(each, base.SYSTEMS, keep=(*DOC, "condition", "gold")), "runs")
-    return paired.paired_spans(paired.pair_runs(runs.where("condition = 'o'"), runs.where("condition = 't'")))
+    """Through the join of stored runs of both conditions: detectors run once for each text, what they found is written, a row for each document and condition, and joined by key."""
+    runs = written(base.both_runs(spark, d), "runs")
+    side = lambda c: runs.where(F.col("condition") == c)
+    return paired.flagged_spans(base.flags_of_pairs(paired.pair_runs(side("o"), side("t"), DOC)))
 
 
 def _pairs(spark, d, exact: bool = False):

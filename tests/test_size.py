@@ -122,7 +122,7 @@ def test_no_python_step_runs_twice(spark, name, most):
     assert python_steps(entry.queries()[name](spark, FOLDER)) <= most
 
 
-@pytest.mark.parametrize("name, module", [("stored_runs", "sources.sinks.write_runs")])
+@pytest.mark.parametrize("name, module", [("masked_pairs", "plans.queries.written"), ("stored_runs", "sources.sinks.write_runs")])
 def test_what_is_stored_is_made_in_one_pass(spark, monkeypatch, name, module):
     """Labelled spans, changed texts and predictions: each Python step of its own was a worker more for each task."""
     import importlib
@@ -135,6 +135,28 @@ def test_what_is_stored_is_made_in_one_pass(spark, monkeypatch, name, module):
     assert [python_steps(df) for df in seen] == [1]
 
 
+def test_stored_conditions_hold_labelled_spans_once(spark, monkeypatch):
+    from spanloom.plans import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "written", lambda df, name: (seen.append(df), df)[1])
+    entry.queries()["masked_pairs"](spark, FOLDER)
+    assert seen[0].count() == 2 * spark.read.parquet(f"{FOLDER}/documents.parquet").count()  # not once more for each system
+
+
 @pytest.mark.parametrize("name", ["overlap_recall", "false_positive_spans", "missed_spans", "over_redaction"])
 def test_runs_are_made_in_one_pass(spark, name):
     assert python_steps(entry.queries()[name](spark, FOLDER)) <= 2  # detection, and matching
+
+
+def test_a_system_that_failed_on_either_text_has_no_pairs(spark):
+    from spanloom.plans import base
+
+    span = "array<struct<start:bigint,end:bigint,label:string,text:string>>"
+    found = "struct<" + ",".join(f"s{k}:array<struct<start:bigint,end:bigint>>" for k in range(3)) + ">"
+    gold, moved = [(0, 2, "A", "ab"), (3, 5, "A", "cd")], [(0, 3, "A", "xyz"), (4, 6, "A", "cd")]
+    rows = [("b", 1, gold, ([(1, 2)], None, []), moved, ([], [(0, 9)], [(5, 6)])), ("b", 2, [], ([], [], []), [], (None, [], []))]
+    both = spark.createDataFrame(rows, f"benchmark string, doc_id bigint, gold_o {span}, spans_o {found}, gold_t {span}, spans_t {found}")
+    got = {(r["doc_id"], r["system"]): (r["fo"], r["ft"]) for r in base.flags_of_pairs(both).collect()}
+    one, two, three = (d.name for d in base.SYSTEMS)
+    assert got == {(1, one): ([True, False], [False, False]), (1, three): ([False, False], [False, True]), (2, two): ([], []), (2, three): ([], [])}
