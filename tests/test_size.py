@@ -160,3 +160,9 @@ def test_a_system_that_failed_on_either_text_has_no_pairs(spark):
     got = {(r["doc_id"], r["system"]): (r["fo"], r["ft"]) for r in base.flags_of_pairs(both).collect()}
     one, two, three = (d.name for d in base.SYSTEMS)
     assert got == {(1, one): ([True, False], [False, False]), (1, three): ([False, False], [False, True]), (2, two): ([], []), (2, three): ([], [])}
+
+
+@pytest.mark.parametrize("name, most", [("tost_p_values", 2), ("lost_composition", 1), ("pooled_rollup", 1), ("paired_statistics", 1)])
+def test_paired_queries_detect_in_one_pass(spark, name, most):
+    """The second step of tost_p_values makes p of a row for each group."""
+    assert python_steps(entry.queries()[name](spark, FOLDER)) <= most
