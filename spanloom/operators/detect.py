@@ -6,6 +6,7 @@ successful one without spans counts as misses.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from bisect import bisect_left
@@ -16,6 +17,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,59 @@ def needed_literal(pattern: re.Pattern) -> str:
     return max(runs, key=len)
 
 
+def linear_pattern(pattern: re.Pattern) -> str | None:
+    """A pattern for Arrow's engine that is found in exactly the texts that ``pattern`` is found in; None unless it is made of characters, sets, groups, alternatives and greedy repeats alone, which both engines read alike."""
+    ops = re._constants
+    literal = lambda c: rf"\x{{{c:x}}}"
+
+    def written(parts) -> str:
+        out = []
+        for op, v in parts:
+            if op is ops.LITERAL:
+                out.append(literal(v))
+            elif op is ops.IN and all(o in (ops.LITERAL, ops.RANGE) for o, _ in v):
+                out.append("[" + "".join(literal(x) if o is ops.LITERAL else f"{literal(x[0])}-{literal(x[1])}" for o, x in v) + "]")
+            elif op is ops.MAX_REPEAT:
+                out.append(f"(?:{written(v[2])}){{{v[0]},{'' if v[1] is ops.MAXREPEAT else v[1]}}}")
+            elif op is ops.SUBPATTERN and not v[1] and not v[2]:
+                out.append(f"(?:{written(v[3])})")
+            elif op is ops.BRANCH:
+                out.append(f"(?:{'|'.join(map(written, v[1]))})")
+            else:
+                raise ValueError(op)
+        return "".join(out)
+
+    try:
+        made = written(re._parser.parse(pattern.pattern, pattern.flags)) if pattern.flags == re.UNICODE else None
+        if made is not None:
+            pc.match_substring_regex(pa.array([""]), made)
+    except (ValueError, pa.ArrowInvalid):  # ArrowInvalid: repeats beyond that engine's limit
+        return None
+    return made
+
+
+@functools.cache
+def _compiled(pattern: str) -> tuple[re.Pattern, str | None, str]:
+    made = re.compile(pattern)
+    return made, linear_pattern(made), needed_literal(made)
+
+
+def _matches(pattern: str, text: pa.Array, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts and ends of a pattern's matches. Most texts have none: an engine in linear time tells which do."""
+    p, linear, literal = _compiled(pattern)
+    if linear is not None:
+        rows = np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(text, linear), False))).tolist()
+    else:
+        rows = [k for k, t in enumerate(texts) if t is not None and literal in t]
+    bounds, sizes = [], []
+    for k in rows:
+        found = [m.span() for m in p.finditer(texts[k])]
+        sizes.append(len(found))
+        bounds += found
+    both = np.array(bounds, np.int64).reshape(-1, 2)
+    return np.repeat(np.array(rows, np.int64), np.array(sizes, np.int64)), both[:, 0], both[:, 1]
+
+
 @dataclass(frozen=True)
 class RegexDetector:
     """Spans of labelled patterns in order of start, end and label. Patterns should avoid look-around, so that SQL engines can run them too."""
@@ -200,8 +255,7 @@ def _span_lists(found: list[Spans | None], fields: int = 5) -> pa.ListArray:
     """A list array of span structs, of their first ``fields`` fields, from one list for each row; None is null."""
     sizes = [len(x) if x is not None else 0 for x in found]
     flat = [s for x in found if x for s in x]
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())[:fields]
-    columns = pa.StructArray.from_arrays([pa.array([s[k] for s in flat], kind) for k, kind in enumerate(kinds)], ["start", "end", "label", "text", "score"][:fields])
+    columns = pa.StructArray.from_arrays([pa.array([s[k] for s in flat], kind) for k, kind in enumerate(list(_KINDS.values())[:fields])], list(_KINDS)[:fields])
     off = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(off), columns, mask=pa.array([x is None for x in found]) if len(found) else None)
 
@@ -213,11 +267,41 @@ def answer_spans(text: pa.Array, answer: pa.Array) -> pa.Array:
     return _span_lists([locate_nearest(t, parse_tolerant(a).get("spans", [])) if t is not None else [] for t, a in rows])
 
 
+_KINDS = {"start": pa.int64(), "end": pa.int64(), "label": pa.string(), "text": pa.string(), "score": pa.float64()}
+
+
+def _regex_lists(detectors: Sequence[RegexDetector], text: pa.Array, fields: int) -> list[pa.ListArray]:
+    """What ``predict`` of each detector finds in all texts, of their first ``fields`` fields; null text has none. A pattern that several have is looked for once."""
+    texts, known, out = text.to_pylist(), {}, []
+    for d in detectors:
+        labels = sorted({label for label, _ in d.patterns})
+        parts = []
+        for label, p in d.patterns:
+            if p not in known:
+                known[p] = _matches(p, text, texts)
+            parts.append((*known[p], np.full(len(known[p][0]), labels.index(label))))
+        row, start, end, code = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
+        order = np.lexsort((code, end, start, row))
+        row, start, end, code = row[order], start[order], end[order], code[order]
+        columns = [pa.array(start), pa.array(end)]
+        if fields > 2:
+            columns.append(pa.array(labels, pa.string()).take(pa.array(code)))
+        if fields > 3:
+            columns.append(pa.array([texts[k][a:b] for k, a, b in zip(row.tolist(), start.tolist(), end.tolist())], pa.string()))
+        if fields > 4:
+            columns.append(pa.array(np.ones(len(row))))
+        off = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(texts))))).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays(columns, list(_KINDS)[:fields])))
+    return out
+
+
 def spans_of(detector: Detector, scores: bool = True) -> Callable[[Column], Column]:
     """A column function: the spans of one detector, with their scores or without; null text has none."""
 
     @arrow_column(f"array<{PREDICTED if scores else SPAN}>", once=True)  # exploding it infers a filter that would run it again
     def run(text: pa.Array) -> pa.Array:
+        if type(detector) is RegexDetector:
+            return _regex_lists([detector], text, 5 if scores else 4)[0]
         return _span_lists([detector.predict(t) if t is not None else [] for t in text.to_pylist()], 5 if scores else 4)
 
     return run
@@ -232,6 +316,8 @@ def attempts(detectors: Sequence[Detector], text: pa.Array, fields: int = 5) ->
         except Exception:  # a detector's failure on a document is data, see above
             return None
 
+    if all(type(d) is RegexDetector for d in detectors):
+        return _regex_lists(detectors, text, fields)
     texts = text.to_pylist()
     return [_span_lists([one(d, t) for t in texts], fields) for d in detectors]
 

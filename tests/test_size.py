@@ -166,3 +166,61 @@ def test_a_system_that_failed_on_either_text_has_no_pairs(spark):
 def test_paired_queries_detect_in_one_pass(spark, name, most):
     """The second step of tost_p_values makes p of a row for each group."""
     assert python_steps(entry.queries()[name](spark, FOLDER)) <= most
+
+
+# What the second half of round 2 changed.
+
+ODD = ["", None, "no spans", "Mail Anna a.b@corp.example.com or 10.0.0.1.2.3 now", "Berlin \U0001f600 Übermut Zürich +1 (212) 555-0100", "x1234567890123456789 Aa Bbbbb Ccccccc dd", "a@b@c.example.com.example.com Ddddd", "\x00Eeeee\nFffffff gg\u2028Hhhhh"]
+
+
+def test_detection_by_pattern_is_that_by_text():
+    from spanloom.operators import detect
+    from spanloom.plans import base
+
+    text = pa.array(ODD, pa.string())
+    texty = RegexDetector("texty", (("A", r"\w+"), ("B", "(?i)ANNA"), ("A", "z?"), ("B", "^M|.$")))  # read by re alone; empty matches, equal spans
+    for d in (base.GOLD, *base.SYSTEMS, texty, RegexDetector("none", ())):
+        want = [[list(s) for s in d.predict(t)] if t is not None else [] for t in ODD]
+        for fields in (2, 3, 4, 5):
+            for rows in (slice(None), slice(3, 6), slice(0, 0)):
+                got = detect._regex_lists([d], text[rows], fields)[0]
+                assert [[list(s.values()) for s in x] for x in got.to_pylist()] == [[s[:fields] for s in x] for x in want[rows]]
+    assert [x.to_pylist() for x in detect._regex_lists([base.GOLD, *base.SYSTEMS], text, 2)] == [detect._regex_lists([d], text, 2)[0].to_pylist() for d in (base.GOLD, *base.SYSTEMS)]
+
+
+def test_a_pattern_is_looked_for_once_and_only_where_it_is(monkeypatch):
+    from spanloom.operators import detect
+
+    looked = []
+
+    class Pattern:
+        def __init__(self, p):
+            self.p = p
+
+        def finditer(self, text):
+            looked.append(text)
+            return self.p.finditer(text)
+
+    made = detect._compiled
+    monkeypatch.setattr(detect, "_compiled", lambda p: (Pattern(made(p)[0]), *made(p)[1:]))
+    ds = [RegexDetector("d", (("A", "[0-9]{3}"),)), RegexDetector("e", (("B", "[0-9]{3}"),))]
+    a, b = detect.attempts(ds, pa.array(["12 a", "x 123 4567", None, "1234"]), 3)
+    assert looked == ["x 123 4567", "1234"]
+    assert [[s["label"] for s in x] for x in a.to_pylist()] == [[], ["A", "A"], [], ["A"]] and [[s["label"] for s in x] for x in b.to_pylist()] == [[], ["B", "B"], [], ["B"]]
+
+
+def test_patterns_that_both_engines_read_alike():
+    import random
+    import re
+
+    import pyarrow.compute as pc
+
+    from spanloom.operators.detect import linear_pattern
+
+    for p in (r"\w", r"\d+", "a.", "^a", "a$", "(?i)a", "a+?", "[^a]", r"\ba", "(a)\\1", "a(?=b)", "(ab){1001}", "(?i:a)b"):
+        assert linear_pattern(re.compile(p)) is None, p
+    r = random.Random(3)
+    for p in ("[a-c]{2}d", "(ab|ca)+d", "a?b{2,3}", "[:a]d", "é+ß", "a{0}", "-[a\\-c]|[\\]b]"):
+        c = re.compile(p)
+        texts = ["".join(r.choice("abcd[]:-éß\n") for _ in range(r.randint(0, 9))) for _ in range(400)]
+        assert pc.match_substring_regex(pa.array(texts), linear_pattern(c)).to_pylist() == [c.search(t) is not None for t in texts], p
