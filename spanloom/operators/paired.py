@@ -40,23 +40,38 @@ def flagged_spans(flagged: DataFrame, keys: Sequence[str] = ("benchmark", "doc_i
     return each.select(*keys, "idx", F.col("z.gold_o.label").alias("label"), F.col("z.gold_o.text").alias("original"), F.col("z.gold_t.text").alias("changed"), masked.alias("masked"), F.col("z.fo").alias("found_o"), F.col("z.ft").alias("found_t"), *([F.col("z.eo").alias("exact_o"), F.col("z.et").alias("exact_t")] if exact else []))
 
 
-def counts() -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("found_o").alias("found_original"),
-        F.count_if("found_t").alias("found_changed"),
-        F.count_if(F.col("found_o") & ~F.col("found_t")).alias("b"),
-        F.count_if(~F.col("found_o") & F.col("found_t")).alias("c"),
-    ]
+#: Counts of a cell: all pairs, masked ones, and of the masked ones those found in either condition, in one alone (b, c), lost at the same length, and met by exact bounds.
+CELL = ("n", "n_masked", "found_original", "found_changed", "b", "c", "b_same_length", "exact_original", "exact_changed")
+
+
+def pair_cells(pairs: DataFrame) -> DataFrame:
+    """Pairs as cells of one: rows that have the counts ``CELL`` beside their keys, system and label, and may stand for any number of pairs (those by exact bounds only where pairs have them). What counts pairs takes cells too."""
+    if "n_masked" in pairs.columns:
+        return pairs
+    found_o, found_t = F.col("found_o"), F.col("found_t")
+    flags = {"found_original": found_o, "found_changed": found_t, "b": found_o & ~found_t, "c": ~found_o & found_t, "b_same_length": found_o & ~found_t & (F.length("original") == F.length("changed"))}
+    flags |= {f"exact_{name}": F.col(f"exact_{side}") for name, side in (("original", "o"), ("changed", "t")) if f"exact_{side}" in pairs.columns}
+    one = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
+    keys = [c for c in ("benchmark", "doc_id", "system", "label") if c in pairs.columns]
+    return pairs.select(*keys, F.lit(1).cast("bigint").alias("n"), one(F.col("masked")).alias("n_masked"), *[one(F.col("masked") & c).alias(name) for name, c in flags.items()])
+
+
+def _masked(pairs: DataFrame) -> DataFrame:
+    """Cells that have masked pairs, which n counts."""
+    return pair_cells(pairs).where("n_masked > 0").drop("n").withColumnRenamed("n_masked", "n")
+
+
+def _sums(*names: str) -> list[Column]:
+    return [F.sum(c).alias(c) for c in names]
 
 
 def contingency(pairs: DataFrame, by: Sequence[str] = ("benchmark",), pooled: bool = False) -> DataFrame:
     """Hits in both conditions and discordant pairs b, c over masked spans; ``pooled`` adds a row POOLED over all (for a single key)."""
-    masked = pairs.where("masked")
+    masked, counts = _masked(pairs), _sums("n", "found_original", "found_changed", "b", "c")
     if not pooled:
-        return masked.groupBy(*by).agg(*counts())
+        return masked.groupBy(*by).agg(*counts)
     key = by[0]
-    out = masked.rollup(key).agg(F.grouping(key).alias("_g"), *counts())
+    out = masked.rollup(key).agg(F.grouping(key).alias("_g"), *counts)
     return out.withColumn(key, F.when(F.col("_g") == 1, "POOLED").otherwise(F.col(key))).drop("_g")
 
 
@@ -73,23 +88,21 @@ def statistics(table: DataFrame, margins: Sequence[float] = (0.01, 0.02, 0.03),
 
 def retention(pairs: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
     """Recall in both conditions and their ratio (it may exceed 1) over masked spans, by overlap and by exact bounds."""
-    hits = [F.count_if(f"{kind}_{side}").alias(f"{kind}_{side}") for kind in ("found", "exact") for side in "ot"]
-    t = pairs.where("masked").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *hits)
+    t = _masked(pairs).groupBy(*by).agg(*_sums("n", *[f"{kind}_{side}" for kind in ("found", "exact") for side in ("original", "changed")]))
     rate = lambda a, b: F.round(ratio(F.col(a), F.col(b)), 9)
-    overlap = [rate("found_o", "n").alias("recall_original"), rate("found_t", "n").alias("recall_changed"), rate("found_t", "found_o").alias("retention")]
-    exact = [rate("exact_o", "n").alias("exact_recall_original"), rate("exact_t", "n").alias("exact_recall_changed"), rate("exact_t", "exact_o").alias("exact_retention")]
+    overlap = [rate("found_original", "n").alias("recall_original"), rate("found_changed", "n").alias("recall_changed"), rate("found_changed", "found_original").alias("retention")]
+    exact = [rate("exact_original", "n").alias("exact_recall_original"), rate("exact_changed", "n").alias("exact_recall_changed"), rate("exact_changed", "exact_original").alias("exact_retention")]
     return t.select(*by, "n", *overlap, *exact)
 
 
 def coverage(pairs: DataFrame) -> DataFrame:
     """Share of labelled spans whose text changed, by label."""
-    return pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("masked").alias("n_masked")).select("label", "n", "n_masked", F.round(ratio(F.col("n_masked"), F.col("n")), 9).alias("share"))
+    return pair_cells(pairs).groupBy("label").agg(*_sums("n", "n_masked")).select("label", "n", "n_masked", F.round(ratio(F.col("n_masked"), F.col("n")), 9).alias("share"))
 
 
 def lost_composition(pairs: DataFrame) -> DataFrame:
     """Masked spans found only in the original condition, by label: number, share of all lost, and how many kept their length."""
-    lost = pairs.where("masked and found_o and not found_t")
-    t = lost.groupBy("label").agg(F.count(F.lit(1)).alias("n_lost"), F.count_if(F.length("original") == F.length("changed")).alias("n_same_length"))
+    t = pair_cells(pairs).where("b > 0").groupBy("label").agg(F.sum("b").alias("n_lost"), F.sum("b_same_length").alias("n_same_length"))
     total = F.sum("n_lost").over(Window.partitionBy(F.lit(0)))  # over a row for each label
     return t.select("label", "n_lost", "n_same_length", F.round(ratio(F.col("n_lost"), total), 9).alias("share"))
 
@@ -97,7 +110,12 @@ def lost_composition(pairs: DataFrame) -> DataFrame:
 def agreement(pairs: DataFrame, keys: Sequence[str] = ("benchmark", "doc_id")) -> DataFrame:
     """How many masked spans are found by how many systems, in the original condition."""
     each = pairs.where("masked").groupBy(*keys, "idx").agg(F.count_if("found_o").alias("n_systems"))
-    return each.groupBy("n_systems").agg(F.count(F.lit(1)).alias("n_spans"))
+    return agreement_sums(each.withColumn("n_spans", F.lit(1)))
+
+
+def agreement_sums(counts: DataFrame) -> DataFrame:
+    """``agreement`` from rows that have numbers n_systems and n_spans."""
+    return counts.groupBy("n_systems").agg(F.sum("n_spans").alias("n_spans"))
 
 
 def recall_sums(counts: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -161,17 +161,12 @@ def masked_pairs(spark, d):
     return paired.flagged_spans(base.flags_of_pairs(paired.pair_runs(side("o"), side("t"), DOC)))
 
 
-def _pairs(spark, d, exact: bool = False):
-    short = {"found_o": "fo", "found_t": "ft", "exact_o": "eo", "exact_t": "et"}
-    return paired.flagged_spans(base.both_flags(spark, d).withColumnsRenamed(short), exact=exact)
-
-
 _COUNTS = "count(*) AS n, count(*) FILTER (WHERE found_o) AS found_original, count(*) FILTER (WHERE found_t) AS found_changed, count(*) FILTER (WHERE found_o AND NOT found_t) AS b, count(*) FILTER (WHERE found_t AND NOT found_o) AS c"
 
 
 @query(f"{PAIRED_SQL} SELECT benchmark, system, {_COUNTS} FROM pairs WHERE masked GROUP BY benchmark, system")
 def paired_contingency(spark, d):
-    return paired.contingency(_pairs(spark, d), ("benchmark", "system"))
+    return paired.contingency(base.pair_cells(spark, d), ("benchmark", "system"))
 
 
 _POOLED = f"{PAIRED_SQL}, t AS (SELECT CASE WHEN grouping(benchmark) = 1 THEN 'POOLED' ELSE benchmark END AS benchmark, {_COUNTS} FROM pairs WHERE masked GROUP BY ROLLUP (benchmark))"
@@ -179,7 +174,7 @@ _POOLED = f"{PAIRED_SQL}, t AS (SELECT CASE WHEN grouping(benchmark) = 1 THEN 'P
 
 @query(f"{_POOLED} SELECT * FROM t")
 def pooled_rollup(spark, d):
-    return paired.contingency(_pairs(spark, d), pooled=True)
+    return paired.contingency(base.pair_cells(spark, d), pooled=True)
 
 
 @query(
@@ -188,12 +183,12 @@ SELECT benchmark, n, found_original, found_changed, b, c, margin, round(d, 9) AS
 FROM s CROSS JOIN (SELECT unnest([0.01::DOUBLE, 0.02::DOUBLE, 0.03::DOUBLE]) AS margin)"""
 )
 def paired_statistics(spark, d):
-    return paired.statistics(paired.contingency(_pairs(spark, d), pooled=True))
+    return paired.statistics(paired.contingency(base.pair_cells(spark, d), pooled=True))
 
 
 @query()
 def tost_p_values(spark, d):
-    t = paired.contingency(_pairs(spark, d), pooled=True)
+    t = paired.contingency(base.pair_cells(spark, d), pooled=True)
     diff, se = paired_difference(F.col("n"), F.col("b"), F.col("c"))
     return t.select("benchmark", "n", "b", "c", tost_p(F.col("n"), diff, se, F.lit(0.02)).alias("p"))
 
@@ -209,22 +204,22 @@ SELECT system, n, """
     + " FROM x"
 )
 def retention(spark, d):
-    return paired.retention(_pairs(spark, d, exact=True))
+    return paired.retention(base.pair_cells(spark, d))
 
 
 @query(f"{PAIRED_SQL} SELECT label, count(*) AS n, count(*) FILTER (WHERE masked) AS n_masked, round(count(*) FILTER (WHERE masked)::DOUBLE / count(*), 9) AS share FROM pairs GROUP BY label")
 def coverage_by_type(spark, d):
-    return paired.coverage(_pairs(spark, d))
+    return paired.coverage(base.pair_cells(spark, d))
 
 
 @query(f"{PAIRED_SQL} SELECT label, count(*) AS n_lost, count(*) FILTER (WHERE length(original) = length(changed)) AS n_same_length, round(count(*)::DOUBLE / (sum(count(*)) OVER ()), 9) AS share FROM pairs WHERE masked AND found_o AND NOT found_t GROUP BY label")
 def lost_composition(spark, d):
-    return paired.lost_composition(_pairs(spark, d))
+    return paired.lost_composition(base.pair_cells(spark, d))
 
 
 @query(f"{PAIRED_SQL} SELECT n_systems, count(*) AS n_spans FROM (SELECT doc_id, idx, count(*) FILTER (WHERE found_o) AS n_systems FROM pairs WHERE masked GROUP BY doc_id, idx) GROUP BY n_systems")
 def agreement(spark, d):
-    return paired.agreement(_pairs(spark, d))
+    return paired.agreement_sums(base.agreements(spark, d))
 
 
 _CELLS = f"""{PAIRED_SQL}, {REDACTED_SQL}, hits AS (SELECT 'original' AS condition, * FROM found_o UNION ALL SELECT 'changed', * FROM found_t UNION ALL SELECT 'redacted', * FROM ({found_sql('gold', 'pred_r')}) UNION ALL SELECT 'fake', * FROM ({found_sql('gold_f', 'pred_f')})),

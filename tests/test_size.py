@@ -224,3 +224,63 @@ def test_patterns_that_both_engines_read_alike():
         c = re.compile(p)
         texts = ["".join(r.choice("abcd[]:-éß\n") for _ in range(r.randint(0, 9))) for _ in range(400)]
         assert pc.match_substring_regex(pa.array(texts), linear_pattern(c)).to_pylist() == [c.search(t) is not None for t in texts], p
+
+
+def odd_folder(path) -> str:
+    import pyarrow.parquet as pq
+
+    n = len(ODD)
+    pq.write_table(pa.table({"doc_id": pa.array([7 * k for k in range(n)], pa.int64()), "text": pa.array(ODD, pa.string()), "lang": pa.array(["en", None, "de", "fr", "es", "en", "xx", "de"]), "source": pa.array(["a", "b"] * (n // 2)), "n_chars": pa.array([0] * n, pa.int64())}), path / "documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("folder", ["odd", FOLDER])
+def test_cells_are_the_counts_of_the_pairs(spark, tmp_path, folder):
+    """Through the pairs of the stored join on one side, within the row on the other."""
+    from spanloom.operators import paired
+    from spanloom.plans import base
+
+    d = odd_folder(tmp_path) if folder == "odd" else folder
+    pairs = entry.queries()["masked_pairs"](spark, d).cache()
+    keys, counts = ["benchmark", "doc_id", "system", "label"], [c for c in paired.CELL if "exact" not in c]
+    want = paired.pair_cells(pairs).groupBy(*keys).agg(*[base.F.sum(c).alias(c) for c in counts])
+    got = base.pair_cells(spark, d).select(*keys, *counts)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    sums = base.agreements(spark, d)
+    assert sorted(map(tuple, paired.agreement_sums(sums).collect())) == sorted(map(tuple, paired.agreement(pairs).collect()))
+    by = lambda f: sorted(map(tuple, f.collect()))
+    for f in (paired.coverage, paired.lost_composition, paired.contingency, lambda x: paired.contingency(x, pooled=True)):
+        assert by(f(got)) == by(f(pairs))
+    pairs.unpersist()
+
+
+def test_cells_by_exact_bounds_and_failed_systems(monkeypatch):
+    from spanloom.operators.detect import RegexDetector as R
+    from spanloom.plans import base
+
+    class Fails:
+        name = "fails"
+
+        def predict(self, text):
+            raise ValueError(text)
+
+    monkeypatch.setattr(base, "SYSTEMS", (R("all", base.GOLD.patterns), Fails(), R("part", (("GIVEN_NAME", "[A-Z][a-z]{2}"),))))
+    text, doc, lang = pa.array(["Abcde Fghij Klmno", ""]), pa.array([1, 2]), pa.array(["en", "en"])
+    one, two = base._pair_cells.arrow(text, doc, lang).to_pylist()
+    assert two == [] and [c["system"] for c in one] == ["all", "part"] and {c["n"] for c in one} == {3}
+    assert one[0]["found_original"] == one[0]["exact_original"] == one[0]["n_masked"] == one[1]["found_original"] > 0 == one[1]["exact_original"]
+    by_number = base._agreements.arrow(text, doc, lang).to_pylist()
+    assert by_number == [[0, 0, one[0]["n_masked"], 0], [0] * 4]
+
+
+@pytest.mark.parametrize("name", ["tost_p_values", "retention", "lost_composition", "agreement", "paired_contingency", "coverage_by_type"])
+def test_no_span_comes_back_from_python(spark, name):
+    """Spans with their texts came back, three times over, to be counted one by one."""
+    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().analyzed().toJSON()
+    assert "ArrowEvalPython" in plan or "PythonUDF" in plan
+    assert '"name":"start"' not in plan  # a span's field
+
+
+def test_agreement_shuffles_no_spans(spark):
+    plan = entry.queries()["agreement"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(n_systems") == 1 and "Exchange hashpartitioning(benchmark" not in plan
