@@ -119,12 +119,12 @@ def redact_stars(spark, d):
 
 @query(f"{BASE_SQL}, {CHANGED_SQL} SELECT doc_id, text FROM docs_t")
 def surrogate_splice(spark, d):
-    return base.both_texts(spark, d).select("doc_id", F.col("text_t").alias("text"))
+    return base.changed_texts(spark, d).select("doc_id", F.col("text_t").alias("text"))
 
 
 @query(f'{BASE_SQL}, {CHANGED_SQL} SELECT d.benchmark, g.doc_id, CAST(g.idx AS INTEGER) AS idx, g.s AS start, g.e AS "end", g.label, g.text FROM gold_t g JOIN docs d USING (doc_id)')
 def shifted_spans(spark, d):
-    return _gold_rows(base.both_texts(spark, d).withColumn("gold", F.col("gold_t")))
+    return _gold_rows(base.changed_texts(spark, d).withColumnRenamed("gold_t", "gold"))
 
 
 @query(f"{BASE_SQL}, {CHANGED_SQL} SELECT d.doc_id, length(d.text)::BIGINT AS orig_len, length(t.text)::BIGINT AS new_len, d.text IS DISTINCT FROM t.text AS changed, (SELECT count(*) FROM gold g WHERE g.doc_id = d.doc_id) AS n_sensitive FROM docs d JOIN docs_t t USING (doc_id)")

@@ -70,7 +70,7 @@ def read_tagged(spark, d):
 def read_rewritten(spark, d):
     """The changed corpus, written as rewritten documents."""
     path = scratch_path(spark, "rewritten")
-    docs = base.both_texts(spark, d)
+    docs = base.changed_texts(spark, d)
     docs.select(F.col("doc_id").cast("string"), F.col("text_t").alias("text"), F.col("gold_t").alias("gold_spans")).write.json(path)
     return _rows(readers.load(spark, "asq_phi_transformed", path))
 

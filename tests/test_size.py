@@ -284,3 +284,19 @@ def test_no_span_comes_back_from_python(spark, name):
 def test_agreement_shuffles_no_spans(spark):
     plan = entry.queries()["agreement"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(n_systems") == 1 and "Exchange hashpartitioning(benchmark" not in plan
+
+
+def test_rewritten_texts_are_not_shuffled_for_their_spans(spark):
+    plan = entry.queries()["read_rewritten"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by(gold_spans" in plan and "text, text" not in plan and "max_by(text" not in plan
+
+
+def test_what_is_rewritten_has_no_labelled_spans_of_the_original(spark, monkeypatch):
+    from spanloom.plans import base
+
+    def refuse(*a):
+        raise AssertionError("both conditions")
+
+    monkeypatch.setattr(base, "both_texts", refuse)
+    for name in ("read_rewritten", "surrogate_splice", "shifted_spans"):
+        entry.queries()[name](spark, FOLDER)
